@@ -18,6 +18,11 @@ def _big(x: int) -> Column:
     return F.lit(x).cast("bigint")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def interval(s: Column, e: Column) -> Column:
     return F.struct(s.cast("bigint").alias("s"), e.cast("bigint").alias("e"))
 
@@ -322,9 +327,8 @@ def segments_only(segs: Column, code: int) -> Column:
 
 def frame_segments(a: Column, b: Column, strand: Column) -> Column:
     """:func:`segments` in transcription order; shared ones become 100 (in frame) or -100."""
-    segs = segments(a, b)
-    ordered = F.when(strand == "-", F.reverse(segs)).otherwise(segs)
-    state = F.struct(_big(0).alias("q"), _big(0).alias("t"), F.slice(segs, 1, 0).alias("out"))
+    segment = "array<struct<s:bigint,e:bigint,code:int>>"
+    state = F.struct(_big(0).alias("q"), _big(0).alias("t"), F.array().cast(segment).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         inframe = acc["q"] % 3 == acc["t"] % 3
@@ -335,6 +339,7 @@ def frame_segments(a: Column, b: Column, strand: Column) -> Column:
             F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), code.alias("code")))).alias("out"),
         )
 
+    ordered = let(segments(a, b), lambda segs: F.when(strand == "-", F.reverse(segs)).otherwise(segs))
     return F.aggregate(ordered, state, step, lambda acc: acc["out"])
 
 
@@ -346,34 +351,29 @@ METRICS = (
 
 def compare_metrics(a: Column, b: Column, strand: Column) -> Column:
     """Struct of comparison metrics; all -1 where one chain is empty or missing."""
-    framed = frame_segments(a, b, strand)
-
-    def bases(*codes: int) -> Column:
-        return F.aggregate(framed, _big(0), lambda n, x: n + F.when(x["code"].isin(*codes), length(x)).otherwise(_big(0)))
-
-    c1, c2 = chain_length(a), chain_length(b)
-    matched = bases(100, -100)
-    ulen = c1 + c2 - matched
-    starts = (chain_start(a) == chain_start(b)).cast("int")
-    ends = (chain_end(a) == chain_end(b)).cast("int")
     minus = strand == "-"
-    values = {
-        "c1len": c1,
-        "c2len": c2,
-        "match_start": F.when(minus, ends).otherwise(starts),
-        "match_end": F.when(minus, starts).otherwise(ends),
-        "extra": bases(-1),
-        "missing": bases(1),
-        "inframe": bases(100),
-        "matched": matched,
-        "outframe": bases(-100),
-        "lpi": F.floor(c1 * 100 / ulen),
-        "ilpi": F.floor(bases(100) * 100 / ulen),
-        "mlpi": F.floor(matched * 100 / ulen),
-    }
-    void = F.coalesce(F.size(a), F.lit(0)) <= 0
-    void = void | (F.coalesce(F.size(b), F.lit(0)) <= 0)
-    return F.struct(*[F.when(void, _big(-1)).otherwise(values[m].cast("bigint")).alias(m) for m in METRICS])
+    same_s = (chain_start(a) == chain_start(b)).cast("bigint")
+    same_e = (chain_end(a) == chain_end(b)).cast("bigint")
+
+    def bases(framed: Column, code: int) -> Column:
+        return F.aggregate(framed, _big(0), lambda n, x: n + F.when(x["code"] == code, length(x)).otherwise(_big(0)))
+
+    def sums(framed: Column) -> Column:
+        return F.struct(*[bases(framed, c).alias(n) for n, c in (("x", -1), ("m", 1), ("i", 100), ("o", -100))])
+
+    def result(n: Column) -> Column:
+        shared = n["i"] + n["o"]
+        c1, c2, whole = n["x"] + shared, n["m"] + shared, n["x"] + n["m"] + shared
+        values = (
+            c1, c2, F.when(minus, same_e).otherwise(same_s), F.when(minus, same_s).otherwise(same_e),
+            n["x"], n["m"], n["i"], shared, n["o"],
+            F.floor(c1 * 100 / whole), F.floor(n["i"] * 100 / whole), F.floor(shared * 100 / whole),
+        )
+        return F.struct(*[v.alias(m) for v, m in zip(values, METRICS)])
+
+    void = (F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(F.size(b), F.lit(0)) <= 0)
+    blank = F.struct(*[_big(-1).alias(m) for m in METRICS])
+    return F.when(void, blank).otherwise(let(let(frame_segments(a, b, strand), sums), result))
 
 
 def cigar(chain: Column) -> Column:

@@ -11,7 +11,8 @@ from ..session import cut_lineage
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u, v) with u > v: hang neighbours on the smallest one."""
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(ways).alias("w")).select("w.u", "w.v")
     else:
         both = edges
     low = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -20,9 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))
-        )
+        ways = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        out = joined.select(F.explode(ways).alias("w")).select("w.u", "w.v")
     return out.where("u != v").distinct()
 
 
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """
     pair = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
     pair = cut_lineage(pair)
-    nodes = pair.select(F.col("a").alias("node")).union(pair.select("b")).distinct()
+    nodes = pair.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     cur = pair.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     mark = None
     for _ in range(max_rounds):

@@ -138,7 +138,7 @@ def containing(
     from .scans import running
 
     starts = outer.groupBy(*keys, F.col(s).alias("_p")).agg(F.max(e).alias("_m"))
-    probes = inner.select(*keys, F.col(s).alias("_p")).distinct().withColumn("_m", F.lit(None).cast("bigint"))
+    probes = inner.select(*keys, F.col(s).alias("_p")).withColumn("_m", F.lit(None).cast("bigint"))
     axis = starts.unionByName(probes).groupBy(*keys, "_p").agg(F.max("_m").alias("_m"))
     reach = running(axis, keys, "_p", {"_reach": ("_m", "max")}, inclusive=True).select(
         *keys, F.col("_p").alias(s), "_reach"
@@ -159,7 +159,7 @@ def holding(outer: DataFrame, inner: DataFrame, keys: list[str], s: str = "s", e
     from .scans import running
 
     starts = inner.groupBy(*keys, F.col(s).alias("_p")).agg(F.min(e).alias("_m"))
-    probes = outer.select(*keys, F.col(s).alias("_p")).distinct().withColumn("_m", F.lit(None).cast("bigint"))
+    probes = outer.select(*keys, F.col(s).alias("_p")).withColumn("_m", F.lit(None).cast("bigint"))
     axis = starts.unionByName(probes).groupBy(*keys, "_p").agg(F.min("_m").alias("_m"))
     reach = running(axis, keys, "_p", {"_reach": ("_m", "min")}, inclusive=True, reverse=True).select(
         *keys, F.col("_p").alias(s), "_reach"
@@ -190,8 +190,8 @@ def nearest(
 
     pts = sites.groupBy(*keys, F.col(site_pos).alias("_p")).agg(F.min(site_id).alias("_id"))
     pts = pts.withColumn("_site", F.struct(F.col("_p").alias("p"), F.col("_id").alias("id"))).drop("_id")
-    ask = queries.select(*keys, F.col(q_pos).alias("_p")).distinct()
-    axis = ask.join(pts, [*keys, "_p"], "full")
+    ask = queries.select(*keys, F.col(q_pos).alias("_p")).withColumn("_site", F.lit(None).cast(pts.schema["_site"].dataType))
+    axis = pts.unionByName(ask).groupBy(*keys, "_p").agg(F.max("_site").alias("_site"))
     le = running(axis, keys, "_p", {"_le": ("_site", "max")}, inclusive=True)
     both = running(le, keys, "_p", {"_ge": ("_site", "min")}, inclusive=True, reverse=True)
     found = both.select(

@@ -57,12 +57,14 @@ def running(
     for out, (col, how) in specs.items():
         local = local.withColumn(out, _AGG[how](col).over(inner))
 
+    # block totals come from the same shuffled blocks, so the input is read once
+    whole = W.partitionBy(*keys, "_blk").orderBy(order)
+    sums = src.withColumn("_last", F.lead(F.lit(1)).over(whole).isNull())
+    for out, (col, how) in specs.items():
+        sums = sums.withColumn(f"_t_{out}", _AGG[how](col).over(whole.rowsBetween(W.unboundedPreceding, 0)))
     border = F.col("_blk").desc() if reverse else F.col("_blk").asc()
     outer = W.partitionBy(*keys).orderBy(border).rowsBetween(W.unboundedPreceding, -1)
-    totals = src.groupBy(*keys, "_blk").agg(
-        *[_AGG[how](col).alias(f"_t_{out}") for out, (col, how) in specs.items()]
-    )
-    carry = totals.select(
+    carry = sums.where("_last").select(
         *keys,
         "_blk",
         *[_AGG[how](f"_t_{out}").over(outer).alias(f"_c_{out}") for out, (_, how) in specs.items()],
@@ -73,18 +75,42 @@ def running(
     return joined.drop("_blk", *[f"_c_{o}" for o in specs])
 
 
-def numbered(df: DataFrame, keys: list[str], pos: str, ties: list[str], out: str, *, bits: int = BLOCK_BITS) -> DataFrame:
-    """Row numbers (from 1) per ``keys`` in the order (pos, ties).
+def running_in_order(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    ties: list[str],
+    specs: dict[str, tuple[str, str]],
+    *,
+    bits: int = BLOCK_BITS,
+) -> DataFrame:
+    """Inclusive running aggregates per ``keys`` in the order (order..., ties...).
 
-    Rows are counted per position first, so only the rows that share one
-    position are ranked together in a task.
+    ``order`` holds integer columns, a leading ``-`` reverses one.  Each of
+    them is one blocked scan over aggregated positions, so a key that owns a
+    third of all rows is still spread out; only rows equal in all of ``order``
+    meet in one window.
     """
-    per_pos = df.groupBy(*keys, pos).agg(F.count(F.lit(1)).alias("_n"))
-    base = running(per_pos, keys, pos, {"_base": ("_n", "sum")}, bits=bits).drop("_n")
-    w = W.partitionBy(*keys, pos).orderBy(*ties)
-    ranked = df.withColumn("_rn", F.row_number().over(w))
-    return (
-        ranked.join(base, [*keys, pos])
-        .withColumn(out, (F.col("_base") + F.col("_rn")).cast("bigint"))
-        .drop("_base", "_rn")
-    )
+    if not order:
+        w = W.partitionBy(*keys).orderBy(*ties).rowsBetween(W.unboundedPreceding, 0)
+        for out, (col, how) in specs.items():
+            df = df.withColumn(out, _AGG[how](col).over(w))
+        return df
+    pos, reverse = order[0].lstrip("-"), order[0].startswith("-")
+    totals = df.groupBy(*keys, pos).agg(*[_AGG[how](col).alias(f"_v_{out}") for out, (col, how) in specs.items()])
+    base = running(
+        totals, keys, pos, {f"_b_{out}": (f"_v_{out}", how) for out, (_, how) in specs.items()}, reverse=reverse, bits=bits
+    ).drop(*[f"_v_{o}" for o in specs])
+    inner = running_in_order(df, [*keys, pos], order[1:], ties, specs, bits=bits).join(base, [*keys, pos])
+    for out, (_, how) in specs.items():
+        inner = inner.withColumn(out, _merge(how, F.col(out), F.col(f"_b_{out}")))
+    return inner.drop(*[f"_b_{o}" for o in specs])
+
+
+def numbered(
+    df: DataFrame, keys: list[str], pos: str | list[str], ties: list[str], out: str, *, bits: int = BLOCK_BITS
+) -> DataFrame:
+    """Row numbers (from 1) per ``keys`` in the order (pos, ties)."""
+    order = [pos] if isinstance(pos, str) else pos
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return running_in_order(one, keys, order, ties, {out: ("_one", "sum")}, bits=bits).drop("_one")
