@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .pairs import AXIS
 from .scans import running_in_order
 
@@ -35,7 +36,7 @@ def _positions(introns: DataFrame, members: DataFrame, expression: DataFrame) ->
     curve = explanation_curve(introns).select("gene", *AXIS, "s", "e", "rank")
     joined = members.join(curve, ["gene", *AXIS, "s", "e"], "left")
     done = joined.groupBy("gene", "tid").agg(F.max("rank").alias("pos"), F.count_if(F.col("rank").isNull()).alias("missing"))
-    return done.where("missing = 0").drop("missing").join(expression, ["gene", "tid"])
+    return stored(done.where("missing = 0").drop("missing").join(expression, ["gene", "tid"]))
 
 
 def completion(introns: DataFrame, members: DataFrame, expression: DataFrame) -> DataFrame:
@@ -59,8 +60,8 @@ def completion_ordered(introns: DataFrame, members: DataFrame, expression: DataF
     """
     total = expression.join(members.select("gene", "tid").distinct(), ["gene", "tid"], "left_semi").groupBy("gene").agg(F.sum("tpm").alias("total"))
     pos = _positions(introns, members, expression)
-    wait = running_in_order(pos, ["gene"], ["-tpm"], ["tid"], {"wait": ("pos", "max")})
-    run = running_in_order(wait, ["gene"], ["wait", "-tpm"], ["tid"], {"cum": ("tpm", "sum")})
+    wait = stored(running_in_order(pos, ["gene"], ["-tpm"], ["tid"], {"wait": ("pos", "max")}))
+    run = stored(running_in_order(wait, ["gene"], ["wait", "-tpm"], ["tid"], {"cum": ("tpm", "sum")}))
     open_introns = introns.where(F.col("kind") == GOOD).select("gene", *AXIS, "s", "e")
     first = (
         members.join(open_introns, ["gene", *AXIS, "s", "e"], "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chains as C
+from ..session import stored
 from .islands import assign_islands
 from .labels import best_template
 from .pairs import AXIS, BOTH_SINGLE, SAME_INTRONS, class_members, span_components
@@ -120,7 +121,7 @@ def split_loci(tx: DataFrame) -> DataFrame:
     The first part keeps the number, later parts get new ones above the
     largest, in the order (gid, start).
     """
-    placed = assign_islands(tx.select("tid", *AXIS, "gid", "start", "end"), ["gid", *AXIS], "start", "end", out="part")
+    placed = stored(assign_islands(tx.select("tid", *AXIS, "gid", "start", "end"), ["gid", *AXIS], "start", "end", out="part"))
     parts = placed.groupBy("gid").agg(F.min("part").alias("first"))
     later = placed.select("gid", "part").distinct().join(parts, "gid").where("part > first").withColumn("all", F.lit(0))
     top = tx.agg(F.max("gid").alias("top"))
@@ -147,7 +148,7 @@ def assign_ids(tx: DataFrame, po: int = 100) -> DataFrame:
     covered = (F.floor(F.col("bases") * 100 / F.col("q_len")) >= po) | (F.floor(F.col("bases") * 100 / F.col("t_len")) >= po)
     same = (F.col("status") == SAME_INTRONS) | ((F.col("status") == BOTH_SINGLE) & covered)
     kind = F.when(F.col("template").isNull(), "novel").when(same, "same").otherwise("next")
-    placed = placed.withColumn("kind", kind)
+    placed = stored(placed.withColumn("kind", kind))
 
     kept = numbered(placed.where("kind = 'same'"), ["t_gid", "t_num"], "start", ["end", "tid"], "k").select(
         "tid", F.col("t_gid").alias("gid"), F.col("t_num").alias("num"), "kind", (F.col("k") > 1).cast("int").alias("duplicate")
@@ -157,8 +158,8 @@ def assign_ids(tx: DataFrame, po: int = 100) -> DataFrame:
         "tid", F.col("t_gid").alias("gid"), (F.col("top") + F.col("k")).alias("num"), "kind", F.lit(0).alias("duplicate")
     )
 
-    novel = tx.join(placed.where("kind = 'novel'").select("tid"), "tid", "left_semi")
-    member = span_components(novel).join(novel.select("tid", *AXIS, "start", "end"), "tid")
+    novel = stored(tx.join(placed.where("kind = 'novel'").select("tid"), "tid", "left_semi"))
+    member = stored(span_components(novel).join(novel.select("tid", *AXIS, "start", "end"), "tid"))
     comps = member.groupBy(*AXIS, "component").agg(F.min("start").alias("start"))
     ranked = numbered(comps, AXIS, "start", ["component"], "r")
     # one row per axis: the only window without a partition runs over this tiny table

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chains as C
+from ..session import stored
 from .components import connected_components
 from .islands import assign_islands
 from .ranges import overlap_join, self_overlap
@@ -136,7 +137,7 @@ def span_components(tx: DataFrame) -> DataFrame:
     node = lambda kind, pos: F.concat_ws("|", *AXIS, F.lit(kind), pos.cast("string"))
     ties = isl.groupBy("tid", *AXIS, "island").agg(F.lit(1)).select("tid", node("x", F.col("island")).alias("node"))
     run = base.join(_containment_runs(tx), [*AXIS, "start"]).select("tid", node("c", F.col("run")).alias("run"))
-    links = cut_links(ties.join(run, "tid").select("tid", "run", "node"))
+    links = stored(ties.join(run, "tid").select("tid", "run", "node"))
     comps = connected_components(links, "run", "node")
     home = links.groupBy("tid").agg(F.min("run").alias("node"))
     placed = home.join(comps, "node").select("tid", "component")
@@ -144,12 +145,6 @@ def span_components(tx: DataFrame) -> DataFrame:
     return placed.join(label, "component").select("tid", F.col("label").alias("component"))
 
 
-def cut_links(links: DataFrame) -> DataFrame:
-    from ..session import cut_lineage
-
-    return cut_lineage(links)
-
-
 def readthrough(tx: DataFrame) -> DataFrame:
     """(tid, n_pairs..., reader_status): queries that touch more than one template component.
 

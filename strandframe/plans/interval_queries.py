@@ -11,7 +11,8 @@ from ..operators.pairs import AXIS
 from ..operators.ranges import overlap_join
 from . import sqlviews as S
 from .registry import query
-from .views import exons, raw_exons, transcripts
+from ..session import stored
+from .views import exons, raw_exons, stored_transcripts, transcripts
 
 
 def coding(tx: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ pp AS (SELECT a.seqid, a.strand, a.tid AS tid1, b.tid AS tid2, a.n AS n1, b.n AS
 SELECT seqid, strand, tid1, tid2, n1, n2, CAST(status AS INT) AS status, bp AS bases, least(te1,te2)-greatest(ts1,ts2)+1 AS span_bases,
  CAST(sh AS INT) AS shared_introns, CAST(nx1-1 AS INT) AS introns1, CAST(nx2-1 AS INT) AS introns2 FROM rel""")
 def pair_status(spark, sf):
-    return pairs.classify_pairs(transcripts(spark, sf))
+    return pairs.classify_pairs(stored_transcripts(spark, sf))
 
 
 @query("overlap_pairs", f"""WITH {S.TX}, {S.classes()}
@@ -147,7 +148,7 @@ FROM cls a JOIN cls b ON a.seqid=b.seqid AND a.strand=b.strand AND a.ts<=b.te AN
 def overlap_pairs(spark, sf):
     from ..operators.ranges import self_overlap
 
-    cls = pairs.chain_classes(transcripts(spark, sf)).select(*AXIS, "tid", "start", "end")
+    cls = pairs.chain_classes(stored_transcripts(spark, sf)).select(*AXIS, "tid", "start", "end")
     return self_overlap(cls, AXIS, "tid").select(
         F.col("l_tid").alias("tid1"), F.col("r_tid").alias("tid2"),
         (F.least("l_end", "r_end") - F.greatest("l_start", "r_start") + 1).alias("span_bp"),
@@ -187,7 +188,7 @@ SELECT tid1, tid2, c1 AS c1len, c2 AS c2len,
 
 @query("chain_diff_metrics", _DIFF)
 def chain_diff_metrics(spark, sf):
-    cls = pairs.chain_classes(transcripts(spark, sf), [*AXIS, "is_template"])
+    cls = pairs.chain_classes(stored_transcripts(spark, sf), [*AXIS, "is_template"])
     cols = [*AXIS, "tid", "start", "end", "chain"]
     p = overlap_join(cls.where(~F.col("is_template")).select(*cols), cls.where("is_template").select(*cols), AXIS)
     m = C.compare_metrics(F.col("l_chain"), F.col("r_chain"), F.col("strand"))
@@ -204,7 +205,7 @@ SELECT CAST(1 AS INT) AS status, q AS query_tid, t AS template_tid, nq AS n_quer
 UNION ALL SELECT 4, a.tid, b.tid, a.n, b.n FROM o a JOIN o b ON a.seqid=b.seqid AND a.strand=b.strand AND NOT a.is_template AND b.is_template
  AND a.ts<=b.te AND b.ts<=a.te AND ((least(a.te,b.te)-greatest(a.ts,b.ts)+1)*100//(a.te-a.ts+1) >= 100 OR (least(a.te,b.te)-greatest(a.ts,b.ts)+1)*100//(b.te-b.ts+1) >= 100)""")
 def label_groups(spark, sf):
-    return labels.match_groups(transcripts(spark, sf)).withColumn("status", F.col("status").cast("int"))
+    return labels.match_groups(stored_transcripts(spark, sf)).withColumn("status", F.col("status").cast("int"))
 
 
 @query("label_matches", f"""WITH {S.TX}, c AS (SELECT tx.*, ic FROM tx LEFT JOIN ichain USING (tid))
@@ -213,7 +214,7 @@ SELECT a.tid, count(*) AS n_templates, min(b.tid) AS first_template FROM c a JOI
  ((least(a.te,b.te)-greatest(a.ts,b.ts)+1)*100//(a.te-a.ts+1) >= 100 OR (least(a.te,b.te)-greatest(a.ts,b.ts)+1)*100//(b.te-b.ts+1) >= 100)))
 GROUP BY a.tid""")
 def label_matches(spark, sf):
-    return labels.label_matches(transcripts(spark, sf))
+    return labels.label_matches(stored_transcripts(spark, sf))
 
 
 @query("template_presence", f"""WITH {S.TX}, c AS (SELECT tx.*, ic FROM tx LEFT JOIN ichain USING (tid)),
@@ -230,7 +231,7 @@ SELECT t.tid, CAST(h.tid IS NOT NULL AS INT) AS matched, coalesce(h.ty, CASE WHE
  coalesce(h.rep, 0) AS repeat, CASE WHEN h.tid IS NOT NULL THEN CAST(t.strand<>h.qs AS INT) END AS strand_differs
 FROM t LEFT JOIN hit h ON h.tid=t.tid""")
 def template_presence(spark, sf):
-    return labels.template_presence(transcripts(spark, sf))
+    return labels.template_presence(stored_transcripts(spark, sf))
 
 
 _COMP = f"""tt AS (SELECT * FROM tx WHERE is_template),
@@ -243,7 +244,7 @@ comp AS (SELECT tid, min(node) AS component FROM reach GROUP BY tid)"""
 
 @query("template_components", f"WITH RECURSIVE {S.TX}, {_COMP} SELECT tid, component FROM comp")
 def template_components(spark, sf):
-    return pairs.span_components(transcripts(spark, sf).where("is_template"))
+    return pairs.span_components(stored_transcripts(spark, sf).where("is_template"))
 
 
 @query("readthrough_status", f"""WITH RECURSIVE {S.TX}, {_COMP}, {S.QT_PAIRS},
@@ -251,7 +252,7 @@ h AS (SELECT tid1, min(component) AS lo, max(component) AS hi FROM qt JOIN comp
 SELECT q.tid, CASE WHEN lo IS NULL THEN 'unknown' WHEN lo=hi THEN 'pass' ELSE 'fail' END AS reader_status
 FROM tx q JOIN ct ON ct.seqid=q.seqid AND ct.strand=q.strand AND ct.chain=q.chain AND NOT ct.is_template LEFT JOIN h ON h.tid1=ct.tid WHERE NOT q.is_template""")
 def readthrough_status(spark, sf):
-    return pairs.readthrough(transcripts(spark, sf))
+    return pairs.readthrough(stored_transcripts(spark, sf))
 
 
 def _ends_sql(threshold: int, extend: int) -> str:
@@ -273,7 +274,7 @@ FROM c LEFT JOIN st ON st.tid=c.tid AND st.k=1 LEFT JOIN en ON en.tid=c.tid AND
 
 @query("end_correction", _ends_sql(40, 20))
 def end_correction(spark, sf):
-    return labels.correct_ends(transcripts(spark, sf), threshold=40, max_extend=20)
+    return labels.correct_ends(stored_transcripts(spark, sf), threshold=40, max_extend=20)
 
 
 _BEST = f"""{S.QT_PAIRS},
@@ -283,7 +284,7 @@ qm AS (SELECT q.*, ct.tid AS class_tid FROM tx q JOIN ct ON ct.seqid=q.seqid AND
 
 @query("best_template", f"WITH {S.TX}, {_BEST} SELECT tid1 AS class_tid, tid2 AS template, CAST(status AS INT) AS status, bp AS bases FROM bt WHERE k=1")
 def best_template(spark, sf):
-    return labels.best_template(transcripts(spark, sf)).select("class_tid", "template", "status", "bases")
+    return labels.best_template(stored_transcripts(spark, sf)).select("class_tid", "template", "status", "bases")
 
 
 @query("assigned_ids", f"""WITH RECURSIVE {S.TX}, {_BEST},
@@ -303,7 +304,7 @@ UNION ALL SELECT p.tid, p.gid, top + row_number() OVER (PARTITION BY p.gid ORDER
 UNION ALL SELECT nv.tid, (SELECT max(gid) FROM top) + r, row_number() OVER (PARTITION BY component ORDER BY nv.ts, nv.te, nv.tid) - 1, 'novel', 0
  FROM nv JOIN comp USING (tid) JOIN cr USING (component)""")
 def assigned_ids(spark, sf):
-    out = genes.assign_ids(numbered_ids(transcripts(spark, sf)))
+    out = genes.assign_ids(numbered_ids(stored_transcripts(spark, sf)))
     return out.select("tid", F.col("gid").cast("bigint").alias("gid"), F.col("num").cast("bigint").alias("num"), "kind", "duplicate")
 
 
@@ -314,7 +315,7 @@ d AS (SELECT DISTINCT gid, part FROM r), f AS (SELECT *, min(part) OVER (PARTITI
 n AS (SELECT gid, part, (SELECT max(gid) FROM g) + row_number() OVER (ORDER BY gid, part) AS new_gid FROM f WHERE part>p0)
 SELECT tid, gid, coalesce(n.new_gid, gid) AS new_gid FROM r LEFT JOIN n USING (gid, part)""")
 def split_loci(spark, sf):
-    return genes.split_loci(numbered_ids(transcripts(spark, sf)))
+    return genes.split_loci(numbered_ids(stored_transcripts(spark, sf)))
 
 
 # ---------------------------------------------------------------- genes
@@ -356,7 +357,7 @@ def coding_stats(spark, sf):
 l AS (SELECT *, lead(s) OVER w AS ns, lead(gene) OVER w AS ng FROM g WINDOW w AS (PARTITION BY seqid, strand ORDER BY s, e, gene))
 SELECT gene FROM l WHERE e>ns UNION SELECT ng FROM l WHERE e>ns""")
 def adjacent_overlap_genes(spark, sf):
-    return genes.adjacent_overlaps(transcripts(spark, sf))
+    return genes.adjacent_overlaps(stored_transcripts(spark, sf))
 
 
 @query("clean_genes", f"""WITH {S.TX}, g AS (SELECT seqid, strand, gene, min(ts) AS s, max(te) AS e FROM tx GROUP BY 1,2,3),
@@ -364,7 +365,7 @@ l AS (SELECT *, lead(s) OVER w AS ns, lead(gene) OVER w AS ng FROM g WINDOW w AS
 bad AS (SELECT gene FROM l WHERE e>ns UNION SELECT ng FROM l WHERE e>ns UNION SELECT gene FROM tx GROUP BY gene HAVING max(nx)=1)
 SELECT tid, gene FROM tx WHERE gene NOT IN (SELECT gene FROM bad)""")
 def clean_genes(spark, sf):
-    return genes.gene_filter(transcripts(spark, sf)).select("tid", "gene")
+    return genes.gene_filter(stored_transcripts(spark, sf)).select("tid", "gene")
 
 
 @query("dedupe_chains", f"""WITH {S.TX}, s AS (SELECT *, tid%7 AS ilpi, tid%11 AS mom FROM tx),
@@ -442,7 +443,7 @@ UNION ALL {_block(("Total number of Coding Exons in Template", "Template Coding
 UNION ALL {_block(("Total number of introns in Template", "Template Introns Retained", "Query Transcripts Retaining tmpl Introns"), "gap", "exon")}
 UNION ALL {_block(("Total number of Coding Introns in Template", "Template Coding Introns Retained", "Query Transcripts Retaining tmpl Coding Introns"), "cgap", "exon")}""")
 def splicing_changes(spark, sf):
-    tx = coding(transcripts(spark, sf))
+    tx = coding(stored_transcripts(spark, sf))
     return splicing.splicing_changes(tx.where(~F.col("is_template")), tx.where("is_template"))
 
 
@@ -450,11 +451,12 @@ def splicing_changes(spark, sf):
 
 def _curve_inputs(spark, sf):
     tx = transcripts(spark, sf).where(F.size("chain") > 1)
-    members = splicing.explode_chain(tx, C.introns(F.col("chain")), ["gene", "tid", *AXIS])
+    members = stored(splicing.explode_chain(tx, C.introns(F.col("chain")), ["gene", "tid", *AXIS]))
     introns = members.select("gene", *AXIS, "s", "e").distinct().select(
         "*", ((F.col("s") * 7 + F.col("e")) % 101 + 1).alias("cov"), ((F.col("s") + F.col("e")) % 4 - 1).alias("kind")
     )
-    return introns, members, tx.select("gene", "tid", (F.col("tid") % 97 + 1).alias("tpm"))
+    expression = members.select("gene", "tid", (F.col("tid") % 97 + 1).alias("tpm")).distinct()
+    return introns, members, expression
 
 
 _CURVE = f"""WITH {S.TX}, mem AS (SELECT gene, tid, seqid, strand, s, e FROM intr),

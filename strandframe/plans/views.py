@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chains as C
 from ..operators.islands import merge_intervals
+from ..session import stored
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,3 +56,8 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
         C.chain_end(F.col("chain")).alias("end"),
         *axis_columns(),
     )
+
+
+def stored_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`transcripts` as a written table, for queries that use it in several branches."""
+    return stored(transcripts(spark, sf))
