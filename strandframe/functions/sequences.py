@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 from pyspark.sql import Column
@@ -37,15 +38,28 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, COMPLEMENT_FROM, COMPLEMENT_TO))
 
 
+def codons(seq: Column) -> Column:
+    """Whole codons of a sequence as an array, in one pass over the text."""
+    return F.regexp_extract_all(F.upper(seq), F.lit("(.{3})"), F.lit(1))
+
+
 def translate(seq: Column) -> Column:
-    """Protein text of the whole codons of a sequence; unknown codons give X."""
-    table = F.create_map(*[F.lit(x) for kv in _CODONS.items() for x in kv])
-    upper = F.upper(seq)
-    n = F.floor(F.length(seq) / 3).cast("int")
-    codons = F.when(
-        n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(upper, i * 3 + 1, F.lit(3)))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+    """Protein text of the whole codons of a sequence; unknown codons give X.
+
+    Plain codons are looked up by position; only ambiguous ones search the table.
+    """
+    amino = F.array(*[F.lit(a) for a in AMINO])
+    table = F.create_map(*[F.lit(x) for kv in sorted(_CODONS.items()) if set(kv[0]) - set(BASES) for x in kv])
+
+    def index(c: Column, i: int) -> Column:
+        return F.position(F.substring(c, i, 1), F.lit(BASES)) - 1
+
+    def one(c: Column) -> Column:
+        a, b, d = index(c, 1), index(c, 2), index(c, 3)
+        plain = (a >= 0) & (b >= 0) & (d >= 0)
+        return F.when(plain, F.get(amino, a * 16 + b * 4 + d)).otherwise(F.coalesce(F.try_element_at(table, c), F.lit("X")))
+
+    return F.array_join(F.transform(codons(seq), one), "")
 
 
 def is_full_orf(aa: Column, nt: Column) -> Column:
@@ -80,7 +94,34 @@ def passes_quality(
     return ok if alphabet is None else ok & seq.rlike(f"^[{alphabet}]*$")
 
 
-ORF = "ATG(?:(?!TAA|TAG|TGA)[A-Z]{3})*(?:TAA|TAG|TGA)"
+# Fixed value: an open reading frame from ATG to the first stop in frame.
+ORF = "(?=(ATG(?:(?!TAA|TAG|TGA)...)*(?:TAA|TAG|TGA)))"
+
+
+def longest_orfs(seq: Column) -> Column:
+    """All longest open reading frames of a sequence, as offsets from 0, overlaps included.
+
+    Needs match positions of overlapping matches, which no built-in gives.
+    """
+    import pandas as pd
+
+    def run(seqs: pd.Series) -> pd.Series:
+        return seqs.map(_orfs_of)
+
+    # type hints are strings here, so the kind of function is given by the hint objects
+    run.__annotations__ = {"seqs": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<s:bigint,e:bigint>>")(seq)
+
+
+def _orfs_of(seq: str | None) -> list[dict]:
+    best, size = [], 0
+    for m in re.finditer(ORF, seq or ""):
+        n = m.end(1) - m.start(1)
+        if n > size:
+            best, size = [], n
+        if n == size:
+            best.append({"s": m.start(1), "e": m.end(1) - 1})
+    return best
 
 
 def splice_consensus(donor: Column, acceptor: Column) -> Column:

@@ -105,10 +105,3 @@ def append_unseen(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """``first`` plus the rows of ``second`` whose key is new, without copies."""
     fresh = second.join(first.select(key).distinct(), key, "left_anti")
     return first.unionByName(fresh.select(first.columns)).distinct()
-
-
-def merged_ids(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    """Distinct ids per group as one sorted comma list, ``-`` if there is none."""
-    ids = F.array_sort(F.collect_set(F.when(F.col(col) != "-", F.col(col))))
-    text = F.array_join(ids, ",")
-    return df.groupBy(*by).agg(F.when(text == "", "-").otherwise(text).alias(col))
