@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import attributes as A
 from ..functions import sequences as Q
-from ..operators import cohort, lookup
+from ..operators import breakpoints, cohort, lookup
 from ..sources import annotation, records
 from .registry import query
-from .views import table
+from .views import stored_transcripts, table
 
 # ---------------------------------------------------------------- cohorts: customer = sample, nation = tissue
 
@@ -244,3 +244,53 @@ def random_sample_stable(spark, sf):
 @query("read_shuffle", "SELECT l_orderkey, l_partkey FROM lineitem")
 def read_shuffle(spark, sf):
     return records.shuffled(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), ["l_orderkey"], 11)
+
+
+# ---------------------------------------------------------------- breakpoints: orders are reads, line items alignments
+
+def _breakpoint_rows(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.expr("concat('r', l_orderkey)").alias("read_name"), F.expr("concat('h', l_partkey % 3)").alias("genome1_seqid"),
+        F.expr("concat('p', l_suppkey % 2)").alias("genome2_seqid"), (F.col("l_partkey") % 40).alias("genome1_breakpoint"),
+        (F.col("l_suppkey") % 30).alias("genome2_breakpoint"), F.expr("IF(l_linenumber % 2 = 0, 'g1', '-')").alias("junction1"),
+        F.expr("IF(l_linenumber % 3 = 0, 'g2', '-')").alias("junction2"), F.col("l_returnflag").alias("gene1"), F.col("l_linestatus").alias("gene2"),
+    )
+
+
+_BP = """b AS (SELECT 'h'||(l_partkey%3) AS genome1_seqid, 'p'||(l_suppkey%2) AS genome2_seqid, l_partkey%40 AS genome1_breakpoint, l_suppkey%30 AS genome2_breakpoint,
+ CASE WHEN l_linenumber%2=0 THEN 'g1' ELSE '-' END AS junction1, CASE WHEN l_linenumber%3=0 THEN 'g2' ELSE '-' END AS junction2, l_returnflag AS gene1, l_linestatus AS gene2 FROM lineitem)"""
+
+
+@query("breakpoint_groups", f"WITH {_BP} SELECT *, count(*) AS count FROM b GROUP BY ALL")
+def breakpoint_groups(spark, sf):
+    return breakpoints.group_breakpoints(_breakpoint_rows(spark, sf))
+
+
+@query("breakpoint_weights", f"""WITH {_BP}, w AS (SELECT *, 1 + (junction1<>'-')::INT + (junction2<>'-')::INT AS w FROM b)
+SELECT seqid, pos, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT genome1_seqid AS seqid, genome1_breakpoint AS pos, w FROM w
+ UNION ALL SELECT genome2_seqid, genome2_breakpoint, w FROM w) GROUP BY 1,2""")
+def breakpoint_weights(spark, sf):
+    return breakpoints.breakpoint_weights(_breakpoint_rows(spark, sf))
+
+
+def _alignments(spark, sf, side: int):
+    """Reads of 60 bases: the first part aligns to one genome, the last part to the other."""
+    li = table(spark, sf, "lineitem").where(F.col("l_linenumber") % 2 == side)
+    n = F.expr("cast(15 + l_partkey % 20 as int)")
+    start = F.expr("l_orderkey div 40 * 200 + l_suppkey % 150")
+    q = F.lit(1) if side == 0 else F.lit(60) - n + 1
+    flip = F.col("l_suppkey") % 2 == 1
+    btop = F.when(F.col("l_partkey") % 3 == 0, F.concat_ws("AC", F.lit(7).cast("string"), (n - 8).cast("string"))).otherwise(n.cast("string"))
+    lo, hi = (start + 1).cast("int"), (start + n).cast("int")
+    return li.select(
+        F.expr("concat('r', l_orderkey)").alias("qseqid"), F.lit(60).alias("qlen"), F.expr("concat('s', l_orderkey % 5)").alias("sseqid"),
+        q.cast("int").alias("qstart"), (q + n - 1).cast("int").alias("qend"), F.when(flip, hi).otherwise(lo).alias("sstart"),
+        F.when(flip, lo).otherwise(hi).alias("send"), btop.alias("btop"),
+    )
+
+
+@query("breakpoint_scan")
+def breakpoint_scan(spark, sf):
+    tx = stored_transcripts(spark, sf)
+    return breakpoints.find_breakpoints(_alignments(spark, sf, 0), _alignments(spark, sf, 1), tx.where("is_template"), tx.where("NOT is_template"))
