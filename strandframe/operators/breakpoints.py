@@ -182,12 +182,18 @@ def _trial(one: list[int], two: list[int], swapped: bool, donors, acceptors, ful
     return best
 
 
-def _score_pair(r1, r2, full: int, half: int) -> dict:
+def _read_profile(r) -> list[tuple]:
+    """Per direction: scores, track, donor marks, acceptor marks."""
+    out = []
+    for v in _views(r):
+        track = _track(v)
+        out.append((_scores(v), track, _marks(track, r["donors"]), _marks(track, r["acceptors"])))
+    return out
+
+
+def _score_pair(p1: list[tuple], p2: list[tuple], full: int, half: int) -> dict:
     best = None
-    for v1, v2 in zip(_views(r1), _views(r2)):
-        s1, s2, t1, t2 = _scores(v1), _scores(v2), _track(v1), _track(v2)
-        d1, a1 = _marks(t1, r1["donors"]), _marks(t1, r1["acceptors"])
-        d2, a2 = _marks(t2, r2["donors"]), _marks(t2, r2["acceptors"])
+    for (s1, t1, d1, a1), (s2, t2, d2, a2) in zip(p1, p2):
         runs = [(_trial(s1, s2, False, d1, a2, full, half), t1, t2), (_trial(s1, s2, True, d2, a1, full, half), t1, t2)]
         for run in runs:
             if best is None or run[0][0] > best[0][0]:
@@ -213,9 +219,14 @@ def score_pairs(pairs: DataFrame, full: int = 5, half: int = 3) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fields = [*FIELDS, "donors", "acceptors"]
         for pdf in batches:
-            out = []
+            out, seen = [], {}
             for row in pdf.to_dict("records"):
-                side = [{f: row[f"{f}_{k}"] for f in fields} for k in (1, 2)]
+                side = []
+                for k in (1, 2):
+                    key = (k, row[f"line_{k}"])
+                    if key not in seen:
+                        seen[key] = _read_profile({f: row[f"{f}_{k}"] for f in fields})
+                    side.append(seen[key])
                 got = _score_pair(*side, full, half)
                 out.append({
                     "read_name": row["qseqid_1"], "line_1": row["line_1"], "line_2": row["line_2"], "genome1_seqid": row["sseqid_1"],

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import interval_queries, table_queries  # noqa: F401
+from . import chain_queries, interval_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
