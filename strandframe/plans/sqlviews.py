@@ -5,14 +5,14 @@ AXIS = """'s'||(tid%5) AS seqid, CASE WHEN (tid//5)%2=0 THEN '+' ELSE '-' END AS
 
 RAW = """raw AS (
  SELECT l_orderkey AS tid, (l_orderkey//40)*200 + ((l_orderkey//40)*7919)%97 + (l_partkey%12)*15 AS s,
-  (l_orderkey//40)*200 + ((l_orderkey//40)*7919)%97 + (l_partkey%12)*15 + 5 + (CAST(l_quantity AS BIGINT)%2)*4 AS e
+  (l_orderkey//40)*200 + ((l_orderkey//40)*7919)%97 + (l_partkey%12)*15 + 5 + (CAST(floor(l_quantity) AS BIGINT)%2)*4 AS e
  FROM lineitem)"""
 
 
 def merged(name: str, source: str, keys: str, gap: int = 0) -> str:
     return f"""{name}_l AS (
  SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
- FROM {source}),
+ FROM (SELECT DISTINCT {keys}, s, e FROM {source})),
 {name}_r AS (
  SELECT *, sum(CASE WHEN m IS NULL OR s > m + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS r
  FROM {name}_l),

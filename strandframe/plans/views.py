@@ -36,7 +36,7 @@ def raw_exons(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("tid"),
         s.alias("s"),
-        (s + 5 + (F.col("l_quantity").cast("bigint") % 2) * 4).alias("e"),
+        (s + 5 + (F.floor("l_quantity") % 2) * 4).alias("e"),
     )
 
 
