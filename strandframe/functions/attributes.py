@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .chains import let
+
 # Keys written first, in this order, by attribute_text().
 KEY_ORDER = (
     "ID", "Parent", "transcript_id", "gene_id", "gene_name", "gene_type", "db_xref",
@@ -18,20 +20,26 @@ def parse_attributes(text: Column, gff: bool = False, keep: str = "first") -> Co
     ``keep`` decides which value of a repeated key stays, "first" or "last".
     """
     sep = "=" if gff else ' "'
-    pieces = F.transform(F.split(text, ";"), lambda p: F.split(F.trim(p), sep, 2))
-    good = F.filter(pieces, lambda p: F.size(p) == 2)
-    pairs = F.transform(
-        good,
-        lambda p: F.struct(F.trim(p[0]).alias("key"), (p[1] if gff else F.regexp_replace(p[1], '"+$', "")).alias("value")),
-    )
-    names = F.transform(pairs, lambda p: p["key"])
-    if keep == "first":
-        kept = F.filter(pairs, lambda p, i: F.array_position(names, p["key"]) == i + 1)
-    else:
-        kept = F.filter(
-            pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["key"])
-        )
-    return F.map_from_entries(kept)
+    bare = F.transform(F.split(text, ";"), lambda p: F.btrim(F.trim(p), F.lit('"')))
+    # exactly one separator, as in the text format
+    pieces = F.filter(bare, lambda p: (F.instr(p, sep) > 1) & (F.instr(F.substring(p, F.instr(p, sep) + 1, F.length(p)), sep) == 0))
+
+    def pair(p: Column) -> Column:
+        at = F.instr(p, sep)
+        value = F.substring(p, at + len(sep), F.length(p))
+        return F.struct(F.trim(F.substring(p, F.lit(1), at - 1)).alias("key"), value.alias("value"))
+
+    pairs = F.transform(pieces, pair)
+
+    def kept(both: Column) -> Column:
+        names = both["names"]
+        if keep == "first":
+            return F.filter(both["pairs"], lambda p, i: F.array_position(names, p["key"]) == i + 1)
+        return F.filter(both["pairs"], lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["key"]))
+
+    # let() keeps the split text from being taken apart again for every piece
+    named = let(pairs, lambda ps: F.struct(ps.alias("pairs"), F.transform(ps, lambda p: p["key"]).alias("names")))
+    return F.map_from_entries(let(named, kept))
 
 
 def attribute(text: Column, key: str) -> Column:

@@ -13,21 +13,27 @@ key is spread over many tasks, and copies are removed before any window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .scans import BLOCK_BITS, block_of
 
 
-def _local_runs(df: DataFrame, keys: list[str], s: str, e: str, gap: int, bits: int) -> DataFrame:
-    """Distinct starts with the start of their run inside the block."""
+def _local_runs(
+    df: DataFrame, keys: list[str], s: str, e: str, gap: int, bits: int, extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """Distinct starts with the start of their run inside the block.
+
+    ``extra`` names further aggregates over the rows of each start.
+    """
     # the null filter stands here, so both uses of this result share one shuffle
     known = F.col(s).isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
     starts = df.where(known).groupBy(*keys, block_of(F.col(s), bits).alias("_blk"), F.col(s).alias("_s")).agg(
-        F.max(e).alias("_e")
+        F.max(e).alias("_e"), *[agg.alias(name) for name, agg in (extra or {}).items()]
     )
     w = W.partitionBy(*keys, "_blk").orderBy("_s")
     seen = F.max("_e").over(w.rowsBetween(W.unboundedPreceding, -1))
@@ -83,25 +89,26 @@ def assign_islands(
     out: str = "island",
     bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Add the start of the island each row belongs to (the island's id within its keys)."""
+    """Add the start of the island each row belongs to (the island's id within its keys).
+
+    ``df`` is read twice; pass a stored table if it is costly to compute.
+    """
     runs = _resolve(_local_runs(df, keys, s, e, gap, bits), keys, gap)
     ids = runs.select(*keys, F.col("_s").alias(s), F.col("_isl").alias(out))
     return df.join(ids, [*keys, s])
 
 
-def bundle_summary(tx: DataFrame, keys: list[str] = ["seqid", "strand"], *, gap: int = 0) -> DataFrame:
+def bundle_summary(tx: DataFrame, keys: list[str] = ["seqid", "strand"], *, gap: int = 0, bits: int = BLOCK_BITS) -> DataFrame:
     """One row per bundle of overlapping transcripts."""
     flag = F.col("is_template").cast("bigint") if "is_template" in tx.columns else F.lit(0).cast("bigint")
-    slim = tx.select(*keys, "start", "end", flag.alias("_t"))
-    per_start = slim.groupBy(*keys, "start").agg(
-        F.max("end").alias("end"), F.count(F.lit(1)).alias("_n"), F.sum("_t").alias("_nt")
+    slim = tx.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), F.lit(1).cast("bigint").alias("n"), flag.alias("t"))
+    runs = _local_runs(slim, keys, "s", "e", gap, bits, {"_n": F.sum("n"), "_t": F.sum("t")})
+    # one row per run; stored, so the blocks' borders are resolved without a second pass over the input
+    local = stored(
+        runs.groupBy(*keys, "_blk", "_run").agg(F.max("_e").alias("_e"), F.sum("_n").alias("_n"), F.sum("_t").alias("_t"))
     )
     return (
-        assign_islands(per_start, keys, "start", "end", gap=gap, out="bundle")
-        .groupBy(*keys, F.col("bundle").alias("bundle_start"))
-        .agg(
-            F.max("end").alias("bundle_end"),
-            F.sum("_n").alias("n_tx"),
-            F.sum("_nt").alias("n_templates"),
-        )
+        _resolve(local, keys, gap)
+        .groupBy(*keys, F.col("_isl").alias("bundle_start"))
+        .agg(F.max("_e").alias("bundle_end"), F.sum("_n").alias("n_tx"), F.sum("_t").alias("n_templates"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chains as C
+from ..session import stored
 from .islands import merge_intervals
 from .scans import running
 
@@ -57,7 +58,7 @@ def coverage_cells(iv: DataFrame, keys: list[str], label: str, labels: list[str]
     steps = merged.select(*keys, F.col(s).alias("_p"), F.col("_bit").alias("_d")).unionByName(
         merged.select(*keys, (F.col(e) + 1).alias("_p"), (-F.col("_bit")).alias("_d"))
     )
-    points = steps.groupBy(*keys, "_p").agg(F.sum("_d").alias("_d")).withColumn("_q", F.col("_p"))
+    points = stored(steps.groupBy(*keys, "_p").agg(F.sum("_d").alias("_d")).withColumn("_q", F.col("_p")))
     on = running(points, keys, "_p", {"mask": ("_d", "sum")}, inclusive=True)
     nxt = running(on, keys, "_p", {"_next": ("_q", "min")}, reverse=True)
     return nxt.where("mask > 0").select(*keys, F.col("_p").alias(s), (F.col("_next") - 1).alias(e), F.col("mask").cast("bigint").alias("mask"))

@@ -123,8 +123,8 @@ def transfer_orfs(tx: DataFrame, check_length: bool = True) -> DataFrame:
     )
 
 
-def refit_with_sequence(own: Column, cut: Column, strand: Column, genome: Column, origin: Column, template_start: Column) -> Column:
-    """Coding chain fitted to the sequence: stop and start adjusted within the transcript.
+def refit_with_sequence(df: DataFrame, own: str, cut: str, strand: str, genome: str, origin: str, template_start: str) -> DataFrame:
+    """Add ``refit``: the coding chain fitted to the sequence, within the transcript.
 
     ``genome`` is the forward sequence that covers ``own``, its first base at
     ``origin``; ``template_start`` is the coordinate of the template's first
@@ -134,34 +134,33 @@ def refit_with_sequence(own: Column, cut: Column, strand: Column, genome: Column
     upstream to the furthest M before any stop, but not past the template's
     own start.  NULL if nothing is left.
     """
-    minus = strand == "-"
-    rna = Q.spliced(genome, own, strand, origin)
-    first = F.when(minus, C.chain_end(cut)).otherwise(C.chain_start(cut))
-    at = _bases_before(own, strand, first)
-
-    def place(v: Column) -> Column:
-        n = C.chain_length(cut)
-        frame = Q.translate(F.substring(v["rna"], (v["at"] + 1).cast("int"), n.cast("int")))
-        stop = F.instr(frame, ".")
-        coding = F.when(stop > 0, F.substring(frame, F.lit(1), stop - 1)).otherwise(frame)
-        m = F.instr(coding, "M")
-        begin = v["at"] + F.when(m > 0, (m - 1) * 3).otherwise(F.lit(0))
-        kept = F.length(coding) - F.when(m > 0, m - 1).otherwise(F.lit(0))
-        tail = Q.translate(F.substring(v["rna"], (begin + 1).cast("int"), F.lit(2**31 - 1)))
-        later = F.instr(tail, ".")
-        codons = F.when(later > 0, later).otherwise(kept)
-        head = F.substring(v["rna"], (begin % 3 + 1).cast("int"), (begin - begin % 3).cast("int"))
-        ahead = F.regexp_extract(Q.translate(head), r"([^.]*)$", 1)
-        # codons between the template start and begin may be used, the template start itself ends the search
-        t_at = _bases_before(own, strand, template_start)
-        inside = F.exists(own, lambda x: (x["s"] <= template_start) & (x["e"] >= template_start))
-        limit = F.when(inside & (t_at < begin) & ((begin - t_at) % 3 == 0), F.floor((begin - t_at) / 3) - 1)
-        usable = F.when(limit.isNotNull(), F.substring(ahead, (F.length(ahead) - F.least(limit, F.length(ahead)) + 1).cast("int"), F.lit(2**31 - 1))).otherwise(ahead)
-        up = F.instr(usable, "M")
-        grown = F.when(up > 0, F.length(usable) - up + 1).otherwise(F.lit(0))
-        start = begin - grown * 3
-        bases = (codons + grown) * 3
-        a, b = C.to_genome(own, strand, start), C.to_genome(own, strand, start + bases - 1)
-        return F.when(kept > 0, C.clip(own, F.least(a, b), F.greatest(a, b)))
-
-    return C.let(F.struct(rna.alias("rna"), at.alias("at")), place)
+    o, c, st, t0 = F.col(own), F.col(cut), F.col(strand), F.col(template_start)
+    minus, rest = st == "-", F.lit(2**31 - 1)
+    piece = lambda a, n: F.substring("_rna", (a + 1).cast("int"), n.cast("int"))
+    steps = {
+        "_rna": Q.spliced(F.col(genome), o, st, F.col(origin)),
+        "_at": _bases_before(o, st, F.when(minus, C.chain_end(c)).otherwise(C.chain_start(c))),
+        "_t": F.when(F.exists(o, lambda x: (x["s"] <= t0) & (x["e"] >= t0)), _bases_before(o, st, t0)),
+        "_frame": Q.translate(piece(F.col("_at"), C.chain_length(c))),
+        "_coding": F.regexp_extract("_frame", r"^([^.]*)", 1),
+        "_m": F.greatest(F.instr("_coding", "M") - 1, F.lit(0)),
+        "_begin": F.col("_at") + F.col("_m") * 3,
+        "_kept": F.length("_coding") - F.col("_m"),
+        "_tail": Q.translate(piece(F.col("_begin"), rest)),
+        "_stop": F.instr("_tail", "."),
+        "_codons": F.when(F.col("_stop") > 0, F.col("_stop")).otherwise(F.col("_kept")),
+        "_head": Q.translate(piece(F.col("_begin") % 3, F.col("_begin") - F.col("_begin") % 3)),
+        "_ahead": F.regexp_extract("_head", r"([^.]*)$", 1),
+        # codons after the template's start may be used; the start itself ends the search
+        "_limit": F.when((F.col("_t") < F.col("_begin")) & ((F.col("_begin") - F.col("_t")) % 3 == 0), F.expr("(_begin - _t) div 3 - 1")),
+        "_usable": F.when(F.col("_limit") < F.length("_ahead"), F.right("_ahead", F.col("_limit").cast("int"))).otherwise(F.col("_ahead")),
+        "_up": F.instr("_usable", "M"),
+        "_grown": F.when(F.col("_up") > 0, F.length("_usable") - F.col("_up") + 1).otherwise(F.lit(0)),
+        "_from": F.col("_begin") - F.col("_grown") * 3,
+        "_a": C.to_genome(o, st, F.col("_from")),
+        "_b": C.to_genome(o, st, F.col("_from") + (F.col("_codons") + F.col("_grown")) * 3 - 1),
+    }
+    out = df
+    for name, value in steps.items():
+        out = out.withColumn(name, value)
+    return out.withColumn("refit", F.when(F.col("_kept") > 0, C.clip(o, F.least("_a", "_b"), F.greatest("_a", "_b")))).drop(*steps)

@@ -46,7 +46,7 @@ def bundle_summary_open(spark, sf):
 
 @query("bundle_members", f"WITH {S.BUNDLE} SELECT tid, seqid, strand, bundle FROM bundle")
 def bundle_members(spark, sf):
-    tx = transcripts(spark, sf).select("tid", *AXIS, "start", "end")
+    tx = stored_transcripts(spark, sf).select("tid", *AXIS, "start", "end")
     return islands.assign_islands(tx, AXIS, "start", "end", out="bundle").select("tid", *AXIS, "bundle")
 
 
@@ -110,7 +110,7 @@ def phases_fwd_rev(spark, sf):
 UNION ALL SELECT x.tid, greatest(s, ts+7), least(e, te-7), 0
  FROM exon x JOIN tx USING (tid) WHERE greatest(s, ts+7) < least(e, te-7)""")
 def exon_clip(spark, sf):
-    tx = transcripts(spark, sf)
+    tx = stored_transcripts(spark, sf)
     cut = lambda m, flag: splicing.explode_chain(
         tx, C.clip(F.col("chain"), F.col("start") + 7, F.col("end") - 7, m), ["tid"]
     ).withColumn("one_base_kept", F.lit(flag))
@@ -161,7 +161,7 @@ r AS (SELECT *, max(CASE WHEN m IS NULL OR ts > m THEN ts END) OVER (PARTITION B
 c AS (SELECT *, count(*) OVER (PARTITION BY seqid, b) AS n FROM r)
 SELECT tid, seqid, strand, gene, b AS bundle FROM c WHERE n = 1""")
 def pair_singletons(spark, sf):
-    return pairs.singletons(transcripts(spark, sf)).select("tid", *AXIS, "gene", "bundle")
+    return pairs.singletons(stored_transcripts(spark, sf)).select("tid", *AXIS, "gene", "bundle")
 
 
 _DIFF = f"""WITH {S.TX}, {S.classes('ct', 'seqid, strand, is_template')},
@@ -350,7 +350,7 @@ def coding_genes(spark, sf):
 a AS (SELECT gene, count(*) AS n FROM tx WHERE gene IN (SELECT gene FROM cds) GROUP BY gene), b AS (SELECT gene, count(DISTINCT c) AS n FROM cc GROUP BY gene)
 SELECT 'transcripts per coding gene' AS stat, avg(n) AS value FROM a UNION ALL SELECT 'distinct coding chains per gene', avg(n) FROM b""")
 def coding_stats(spark, sf):
-    return genes.coding_stats(coding(transcripts(spark, sf)))
+    return genes.coding_stats(coding(stored_transcripts(spark, sf)))
 
 
 @query("adjacent_overlap_genes", f"""WITH {S.TX}, g AS (SELECT seqid, strand, gene, min(ts) AS s, max(te) AS e FROM tx GROUP BY 1,2,3),
@@ -373,7 +373,7 @@ g AS (SELECT *, max(ilpi) OVER w AS im, max(mom) OVER w AS mm, count(*) OVER w A
 k AS (SELECT *, row_number() OVER (PARTITION BY gene, seqid, strand, chain ORDER BY CASE WHEN im>0 THEN -ilpi WHEN mm>0 THEN -mom ELSE 0 END, tid) AS rn FROM g)
 SELECT tid, n AS n_copies FROM k WHERE rn=1""")
 def dedupe_chains(spark, sf):
-    tx = transcripts(spark, sf).withColumn("ilpi", F.col("tid") % 7).withColumn("mom", F.col("tid") % 11)
+    tx = stored_transcripts(spark, sf).withColumn("ilpi", F.col("tid") % 7).withColumn("mom", F.col("tid") % 11)
     return genes.deduplicate(tx).select("tid", "n_copies")
 
 
@@ -402,7 +402,7 @@ names AS (SELECT * FROM (VALUES (1,'a'),(2,'b'),(4,'c'),(3,'a,b'),(5,'a,c'),(6,'
 @query("exclusive_sets", f"""{_ITEMS}, m AS (SELECT kind, item, bit_or(1 << src) AS mask FROM it GROUP BY 1,2), c AS (SELECT mask, count(*) AS n FROM m WHERE kind='intron' GROUP BY 1)
 SELECT label_set, coalesce(n, 0) AS n FROM names LEFT JOIN c USING (mask)""")
 def exclusive_sets(spark, sf):
-    items = sets.exon_intron_items(transcripts(spark, sf).withColumn("label", _source())).where("kind = 'intron'")
+    items = sets.exon_intron_items(stored_transcripts(spark, sf).withColumn("label", _source())).where("kind = 'intron'")
     return sets.exclusive_sets(items, ["item"], "label", SOURCES)
 
 
@@ -416,7 +416,7 @@ def exclusive_sets_exons(spark, sf):
 @query("id_map_outer", f"""WITH {S.TX}, i AS (SELECT seqid, strand, ic, tid%3 AS src, min(tid) AS tid FROM ichain GROUP BY 1,2,3,4)
 SELECT min(tid) FILTER (WHERE src=0) AS id_a, min(tid) FILTER (WHERE src=1) AS id_b, min(tid) FILTER (WHERE src=2) AS id_c FROM i GROUP BY seqid, strand, ic""")
 def id_map_outer(spark, sf):
-    tx = transcripts(spark, sf).where(F.size("chain") > 1).select(
+    tx = stored_transcripts(spark, sf).where(F.size("chain") > 1).select(
         "tid", *AXIS, C.introns(F.col("chain")).alias("ic"), _source().alias("label")
     )
     return sets.id_map(tx, [*AXIS, "ic"], "label", SOURCES).select("id_a", "id_b", "id_c")
