@@ -124,8 +124,8 @@ def split_loci(tx: DataFrame) -> DataFrame:
     placed = stored(assign_islands(tx.select("tid", *AXIS, "gid", "start", "end"), ["gid", *AXIS], "start", "end", out="part"))
     parts = placed.groupBy("gid").agg(F.min("part").alias("first"))
     later = placed.select("gid", "part").distinct().join(parts, "gid").where("part > first").withColumn("all", F.lit(0))
-    top = tx.agg(F.max("gid").alias("top"))
-    ranked = numbered(later, ["all"], ["gid"], ["part"], "k").join(top.withColumn("all", F.lit(0)), "all")
+    top = tx.agg(F.max("gid").alias("top"))  # always one row, so it may be broadcast
+    ranked = numbered(later, ["all"], ["gid"], ["part"], "k").join(F.broadcast(top.withColumn("all", F.lit(0))), "all")
     fresh = ranked.select("gid", "part", (F.col("top") + F.col("k")).alias("new_gid"))
     return placed.join(fresh, ["gid", "part"], "left").select("tid", "gid", F.coalesce("new_gid", "gid").alias("new_gid"))
 
@@ -168,7 +168,7 @@ def assign_ids(tx: DataFrame, po: int = 100) -> DataFrame:
     offset = sizes.select(*AXIS, F.coalesce(before, F.lit(0)).alias("before"), F.lit(0).alias("all"))
     top_gid = t.agg(F.max("gid").alias("top")).withColumn("all", F.lit(0))
     gids = (
-        ranked.join(offset, AXIS).join(top_gid, "all")
+        ranked.join(offset, AXIS).join(F.broadcast(top_gid), "all")
         .select("component", (F.col("top") + F.col("before") + F.col("r")).alias("gid"))
     )
     fresh = numbered(member, ["component"], "start", ["end", "tid"], "k").join(gids, "component").select(

@@ -146,7 +146,7 @@ def span_components(tx: DataFrame) -> DataFrame:
 
 
 def readthrough(tx: DataFrame) -> DataFrame:
-    """(tid, n_pairs..., reader_status): queries that touch more than one template component.
+    """(tid, reader_status): queries that touch more than one template component.
 
     pass: exactly one component; unknown: none; fail: several.
     """
@@ -165,19 +165,3 @@ def readthrough(tx: DataFrame) -> DataFrame:
         F.when(F.col("lo").isNull(), "unknown").when(F.col("lo") == F.col("hi"), "pass").otherwise("fail")
     )
     return members.join(hits, "class_tid", "left").select("tid", verdict.alias("reader_status"))
-
-
-def identical_genes(tx: DataFrame, po: int = 100) -> DataFrame:
-    """(gene1, gene2): template genes that share an identical transcript, itself included."""
-    t = tx.where("is_template")
-    multi = t.where(F.size("chain") > 1).select(*AXIS, C.introns(F.col("chain")).alias("key"), "gene").distinct()
-    same = multi.join(multi.withColumnRenamed("gene", "gene2"), [*AXIS, "key"]).select("gene", "gene2")
-    one = t.where(F.size("chain") == 1).groupBy(*AXIS, "gene", "start", "end").agg(F.lit(1)).select(*AXIS, "gene", "start", "end")
-    p = overlap_join(one, one, AXIS)
-    bases = F.least("l_end", "r_end") - F.greatest("l_start", "r_start") + 1
-    near = p.where(
-        (F.floor(bases * 100 / (F.col("l_end") - F.col("l_start") + 1)) >= po)
-        | (F.floor(bases * 100 / (F.col("r_end") - F.col("r_start") + 1)) >= po)
-    ).select(F.col("l_gene").alias("gene"), F.col("r_gene").alias("gene2"))
-    own = t.select("gene", F.col("gene").alias("gene2"))
-    return own.union(same).union(near).distinct().select(F.col("gene").alias("gene1"), "gene2")

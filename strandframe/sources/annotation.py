@@ -29,7 +29,8 @@ def number_lines(lines: DataFrame) -> DataFrame:
     sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    return tagged.join(offsets, "_part").withColumn("line_no", F.col("_before") + within).drop("_part", "_id", "_before")
+    # one row per input partition: small by construction, and the lines stay where they are
+    return tagged.join(F.broadcast(offsets), "_part").withColumn("line_no", F.col("_before") + within).drop("_part", "_id", "_before")
 
 
 def features(lines: DataFrame) -> DataFrame:
