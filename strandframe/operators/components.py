@@ -19,13 +19,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     hub = F.least("u", "m")
     joined = both.join(low, "u").withColumn("m", hub)
     if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        ways = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        out = joined.select(F.explode(ways).alias("w")).select("w.u", "w.v")
+        return joined.where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    ways = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    out = joined.select(F.explode(ways).alias("w")).select("w.u", "w.v")
     return out.where("u != v").distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """True if every node hangs directly on one root."""
+    forked = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    roots = edges.select(F.col("v").alias("u")).distinct()
+    return not edges.join(roots, "u", "left_semi").head(1) and not forked.head(1)
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node id reachable from node.
 
@@ -39,13 +45,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     pair = cut_lineage(pair)
     nodes = pair.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     cur = pair.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    mark = None
     for _ in range(max_rounds):
         cur = cut_lineage(_star(_star(cur, True), False))
-        seen = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        if _is_settled(cur):
             break
-        mark = tuple(seen)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return nodes.join(cur.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn(
