@@ -15,6 +15,7 @@ decoder, so pieces are joined by a space.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import tools
 
 #: Text bytes for each owner.
-PER_OWNER = 16 << 20
+PER_OWNER = 4 << 20
 #: Texts and distinct words handled at a time.
 AT_ONCE = 2000
 
@@ -37,6 +38,7 @@ _DDL = "src int, owner int, words binary, ids binary, sizes binary"
 
 
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
@@ -83,30 +85,27 @@ def _answer(path: str):
 
 
 class _Words(dict):
-    """word -> (number of ids, ids as text, pieces as text)."""
+    """word -> its ids, as the bytes of an int32 array."""
 
     def __init__(self, path: str, folder: str):
         self.tokenizer = _tokenizer(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = [self.tokenizer.id_to_token(i) for i in range(size)]
         for r in tools.published(folder, tools.source()):
-            ids = np.frombuffer(zlib.decompress(r["ids"]), np.int32).tolist()
-            at = 0
-            for w, n in zip(zlib.decompress(r["words"]).split(b"\n"), np.frombuffer(zlib.decompress(r["sizes"]), np.int32).tolist()):
-                self[w] = self.entry(ids[at : at + n])
-                at += n
+            ids = zlib.decompress(r["ids"])
+            ends = np.cumsum(4 * np.frombuffer(zlib.decompress(r["sizes"]), np.int32).astype(np.int64)).tolist()
+            self.update(zip(zlib.decompress(r["words"]).split(b"\n"), [ids[a:b] for a, b in zip([0, *ends], ends)]))
 
-    def entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join([self.pieces[i] for i in ids])
-
-    def __missing__(self, word: bytes) -> tuple[int, str, str]:
+    def __missing__(self, word: bytes) -> bytes:
         (ids,) = _encode(self.tokenizer, [word])
-        self[word] = out = self.entry(ids)
+        self[word] = out = np.array(ids, np.int32).tobytes()
         return out
 
-    def encoded(self, text: bytes) -> tuple[int, str, str]:
-        found = [e for e in map(self.__getitem__, text.split()) if e[0]]
-        return sum(e[0] for e in found), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
+    def encoded(self, text: bytes) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), np.int32)
+
+
+def _pieces(tokenizer) -> list[str]:
+    """The id-to-piece table."""
+    return [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
 
 def _word_table(docs: DataFrame, text_col: str, path: str) -> str:
@@ -126,7 +125,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     def ids_of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = _Words(path, folder)
         for s in it:
-            yield pd.Series([np.fromstring(words.encoded((x or "").encode())[1], np.int32, sep=" ") for x in s])
+            yield pd.Series([words.encoded((x or "").encode()) for x in s])
 
     return docs.withColumn(ids_col, ids_of(F.coalesce(F.col(text_col), F.lit(""))))
 
@@ -136,8 +135,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
 
     @F.pandas_udf("string")
     def text_of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = _tokenizer(path)
-        pieces = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+        pieces = _pieces(_tokenizer(path))
         for s in it:
             yield pd.Series([" ".join([pieces[i] for i in (x if x is not None else ())]) for x in s])
 
@@ -154,10 +152,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = _Words(path, folder)
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        pieces = _pieces(words.tokenizer)
+        numbers = [str(i) for i in range(len(pieces))]
+        sha = lambda names, ids: hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest()
         for s in it:
-            got = [words.encoded((x or "").encode()) for x in s]
-            yield pd.DataFrame({"n_tokens": [g[0] for g in got], "ids_sha256": [sha(g[1]) for g in got], "decoded_sha256": [sha(g[2]) for g in got]})
+            got = [words.encoded((x or "").encode()).tolist() for x in s]
+            yield pd.DataFrame({"n_tokens": [len(g) for g in got], "ids_sha256": [sha(numbers, g) for g in got], "decoded_sha256": [sha(pieces, g) for g in got]})
 
     out = docs.select(F.col(id_col).alias("id"), digest(F.coalesce(F.col(text_col), F.lit(""))).alias("d"))
     return out.select(F.col("id").alias(id_col), "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

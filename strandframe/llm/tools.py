@@ -113,7 +113,7 @@ def publish(answers: DataFrame, name: str) -> str:
     """Write answers (with a column ``src``) so that a source finds its own; returns the folder."""
     spark = answers.sparkSession
     folder = shared_folder(spark, name)
-    shelved = answers.withColumn("shelf", F.expr(f"src div {SOURCES_PER_SHELF}")).repartition(parts(spark), "shelf")
+    shelved = answers.withColumn("shelf", F.expr(f"src div {SOURCES_PER_SHELF}")).repartition(parts(spark), "src")
     shelved.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).partitionBy("shelf").parquet(folder)
     return folder
 
