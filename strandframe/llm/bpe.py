@@ -18,6 +18,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ _SENT = pa.schema([("src", pa.int32()), ("owner", pa.int32()), ("words", pa.bina
 _DDL = "src int, owner int, words binary, ids binary, sizes binary"
 
 
+@lru_cache(1)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
@@ -154,10 +156,13 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         words = _Words(path, folder)
         pieces = _pieces(words.tokenizer)
         numbers = [str(i) for i in range(len(pieces))]
-        sha = lambda names, ids: hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest()
+
+        def answer(text: str | None) -> tuple[int, str, str]:
+            ids = words.encoded((text or "").encode()).tolist()
+            return len(ids), *(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest() for names in (numbers, pieces))
+
         for s in it:
-            got = [words.encoded((x or "").encode()).tolist() for x in s]
-            yield pd.DataFrame({"n_tokens": [len(g) for g in got], "ids_sha256": [sha(numbers, g) for g in got], "decoded_sha256": [sha(pieces, g) for g in got]})
+            yield pd.DataFrame([answer(x) for x in s], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = docs.select(F.col(id_col).alias("id"), digest(F.coalesce(F.col(text_col), F.lit(""))).alias("d"))
     return out.select(F.col("id").alias(id_col), "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
