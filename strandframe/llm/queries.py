@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, simhash, substring_dedup
+from . import bpe, decontaminate, exact_dedup, licenses, simhash, substring_dedup
 from .tools import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,61 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+#: The words of a column in DuckDB.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op7_decontaminate"] = f"""
+WITH items AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS win
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)),
+docs AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+places AS (
+  SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS i FROM docs, (SELECT DISTINCT n FROM wins))),
+hits AS (SELECT DISTINCT p.doc_id, p.i, p.n, w.item_id FROM places p JOIN wins w USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM hits) GROUP BY 1),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM hits GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"({i}, '{label}', {quoted(licenses.template_words(text))})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
+    return f"""
+WITH templates(t, label, tw) AS (VALUES {templates}), phrases(pw, label) AS (VALUES {phrases}),
+docs AS (SELECT doc_id, text, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+spots AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, pw, label, unnest(range(1, len(ws) + 1)) AS i FROM docs, phrases) WHERE ws[i:i + len(pw) - 1] = pw),
+lines AS (SELECT doc_id, {_WORDS.format("line")} AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
+near AS (SELECT doc_id, label, len(list_intersect(ws, tw)) AS held, len(tw) AS size FROM lines, templates),
+found AS (
+  SELECT doc_id, label, i - 1 AS i, 1.0::DOUBLE AS score FROM spots
+  UNION ALL SELECT doc_id, label, NULL, held / size FROM near WHERE held >= ceil({licenses.THRESHOLD} * size - 1e-9)),
+of_doc AS (
+  SELECT doc_id, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, max(score) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (i IS NOT NULL) AS base_labels
+  FROM found GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN of_doc USING (doc_id)
+"""
+
+
+ORACLES["op9_licenses"] = _license_sql()
