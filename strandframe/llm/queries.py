@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, simhash, substring_dedup
+from . import bpe, decontaminate, exact_dedup, licenses, simhash, substring_dedup, warc
 from .tools import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,16 @@ FROM docs LEFT JOIN of_doc USING (doc_id)
 
 
 ORACLES["op9_licenses"] = _license_sql()
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_warc"] = """
+SELECT page_id, size AS payload_bytes, sha256(body) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN low END AS refers_to
+FROM (SELECT page_id, body, strlen(body)::BIGINT AS size, min(page_id) OVER w AS low, strlen(body) >= 100 AND page_id > min(page_id) OVER w AS again
+      FROM (SELECT page_id, coalesce(html, '') AS body FROM pages) WINDOW w AS (PARTITION BY body))
+"""
