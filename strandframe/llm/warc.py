@@ -176,7 +176,9 @@ class WarcReader(DataSourceReader):
                     yield one
                     at = one.over()
 
-    def read(self, partition: Range):
+    def read(self, partition: Range | None):
+        if partition is None:  # an empty folder
+            return
         types = {c: pa.binary() if c == "payload" else pa.string() for c in self.columns}
         schema = pa.schema([pa.field(c, t) for c, t in types.items()])
         rows, size = [], 0
