@@ -95,7 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     nothing; items with a null id hit but are not listed.  Equal items and repeated rows are answered each; other columns
     are ignored.  An empty benchmark leaves everything clean.
     """
-    hits = occurrences(docs, items, size, id_col, text_col)
+    hits = stored(occurrences(docs, items, size, id_col, text_col))
     ends = hits.groupBy("id", "mark", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     before = Window.partitionBy("id", "mark").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))), F.lit(0))
