@@ -8,12 +8,13 @@ holds at least ``THRESHOLD`` of the template's words.
    words (prefix filter), has at least ``need`` words (length filter), and the words of the template from the first match
    on are enough (position filter).  Only such pairs are compared.
 
-The templates are fixed, so the prefix index has a proven bound and is broadcast; everything else streams through the scan.
+Lines without any of the prefix words are set aside by one pattern before they are cut into words.  The templates are fixed, so the prefix index has a proven bound and is broadcast; everything else streams through the scan.
 Base phrases are found at their places in the whole text, across lines.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -55,19 +56,23 @@ def _word_counts(rows: DataFrame, words: list[str]) -> dict[str, int]:
     return {r.w: r.n for r in word.where(F.col("w").isin(words)).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def _holding(body: Column, patterns: list[str]) -> Column:
+    """A first look at the bytes: whether any of the patterns, letters in either case, stands in a text."""
+    return body.rlike("(?i)" + "|".join(patterns))
+
+
 def _places(rows: DataFrame, phrases: dict[str, str]) -> DataFrame:
     """(id, mark, at, label): where the words of a phrase stand consecutively."""
-    cut = rows.select("id", "mark", words_of(F.col("body")).alias("ws"))
-    words = cut.select("id", "mark", "ws", F.posexplode("ws").alias("at", "word"))
-    label: Column = F.lit(None).cast("string")
-    for phrase, name in phrases.items():
-        ok = F.lit(True)
-        for j, w in enumerate(phrase.split()):
-            own = F.get("ws", F.col("at") + j)
-            ok = ok & (F.lower(own) == w) & (az_lower(own) == w)
-        label = F.when(F.coalesce(ok, F.lit(False)), name).otherwise(label)
-    heads = sorted({p.split()[0] for p in phrases})
-    return words.where(F.lower("word").isin(heads)).select("id", "mark", "at", label.alias("label")).where("label IS NOT NULL")
+    gap = WORD.replace("[^", "[")
+    some = rows.where(_holding(F.col("body"), [gap.join(p.split()) for p in phrases]))
+    words = some.select("id", "mark", az_lower_all(words_of(F.col("body"))).alias("ws"))
+
+    def at(words: list[str]):
+        return lambda i: reduce(lambda a, b: a & b, (F.coalesce(F.get("ws", i + j) == w, F.lit(False)) for j, w in enumerate(words)))
+
+    index = F.sequence(F.lit(0), F.size("ws"))
+    found = [F.transform(F.filter(index, at(p.split())), lambda i, name=name: F.struct(i.alias("at"), F.lit(name).alias("label"))) for p, name in phrases.items()]
+    return words.select("id", "mark", F.explode(F.concat(*found)).alias("p")).select("id", "mark", "p.at", "p.label")
 
 
 def block_matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -80,11 +85,12 @@ def block_matches(rows: DataFrame, templates: list[tuple[str, str]], threshold:
         order, need = sorted(ws, key=lambda w: (counts.get(w, 0), w)), max(1, ceil(threshold * len(ws) - 1e-9))
         index += [(w, label, order, need, i) for i, w in enumerate(order[: len(order) - need + 1]) if len(order) - i >= need]
     table = spark.createDataFrame(index, "w string, label string, template array<string>, need int, place int")
-    lines = rows.select("id", "mark", F.posexplode(F.split("body", "\n")).alias("block", "line"))
-    blocks = lines.select("id", "mark", "block", words_of(F.col("line")).alias("ws"))
-    near = blocks.select("id", "mark", "block", "ws", F.explode("ws").alias("w0")).withColumn("w", F.lower("w0"))
+    heads = sorted({w for w, *_ in index})
+    lines = rows.select("id", "mark", F.posexplode(F.split("body", "\n")).alias("block", "line")).where(_holding(F.col("line"), heads))
+    blocks = lines.select("id", "mark", "block", F.array_distinct(az_lower_all(words_of(F.col("line")))).alias("ws"))
+    near = blocks.select("id", "mark", "block", "ws", F.explode(F.array_intersect("ws", F.array(*map(F.lit, heads)))).alias("w"))
     pairs = near.join(F.broadcast(table), "w").where(F.size("ws") >= F.col("need"))
-    held = F.size(F.array_intersect("template", az_lower_all(F.col("ws"))))
+    held = F.size(F.array_intersect("template", "ws"))
     found = pairs.select("id", "mark", "block", "label", held.alias("held"), "need", F.size("template").alias("size")).where("held >= need")
     return found.select("id", "mark", "label", (F.col("held") / F.col("size")).alias("containment"))
 
