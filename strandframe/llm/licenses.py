@@ -8,7 +8,8 @@ holds at least ``THRESHOLD`` of the template's words.
    words (prefix filter), has at least ``need`` words (length filter), and the words of the template from the first match
    on are enough (position filter).  Only such pairs are compared.
 
-Lines without any of the prefix words are set aside by one pattern before they are cut into words.  The templates are fixed, so the prefix index has a proven bound and is broadcast; everything else streams through the scan.
+Lines without any of the prefix words are set aside by one pattern before they are cut into words.  The templates are
+fixed, so the prefix index has a proven bound and is broadcast; everything else streams through the scan.
 Base phrases are found at their places in the whole text, across lines.
 """
 
@@ -71,7 +72,11 @@ def _places(rows: DataFrame, phrases: dict[str, str]) -> DataFrame:
         return lambda i: reduce(lambda a, b: a & b, (F.coalesce(F.get("ws", i + j) == w, F.lit(False)) for j, w in enumerate(words)))
 
     index = F.sequence(F.lit(0), F.size("ws"))
-    found = [F.transform(F.filter(index, at(p.split())), lambda i, name=name: F.struct(i.alias("at"), F.lit(name).alias("label"))) for p, name in phrases.items()]
+
+    def places(phrase: str, label: str) -> Column:
+        return F.transform(F.filter(index, at(phrase.split())), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
+
+    found = [places(p, label) for p, label in phrases.items()]
     return words.select("id", "mark", F.explode(F.concat(*found)).alias("p")).select("id", "mark", "p.at", "p.label")
 
 
