@@ -25,9 +25,9 @@ from .textcols import az_lower, az_lower_all, keyed, with_found, words_of
 BROADCAST_BYTES = 48 << 20
 
 
-def _shingle(words: Column, at: Column, kind: int) -> Column:
+def _shingle(words: Column, at: Column, kind: int, lowered: bool = False) -> Column:
     """A number for the one or two words at a position; null at the end.  Fully lower-cased, so never too strict."""
-    word = lambda i: F.lower(F.get(words, i))
+    word = lambda i: F.get(words, i) if lowered else F.lower(F.get(words, i))
     if kind == 1:
         return F.xxhash64(word(at))
     return F.when(at + 1 < F.size(words), F.xxhash64(word(at), word(at + 1)))
@@ -62,7 +62,9 @@ def _rarest(docs: DataFrame, windows: DataFrame, kind: int) -> DataFrame:
     offsets = F.explode(F.sequence(F.lit(0), F.size("words") - kind)).alias("offset")
     tokens = windows.select("item", "words", offsets).withColumn("token", _shingle(F.col("words"), F.col("offset"), kind))
     asked = tokens.select("token").distinct()
-    seen = _positions(docs, kind, 0).select("token").join(_small(asked, 16), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    words = docs.select(words_of(F.lower("body")).alias("ws")).select("ws", F.posexplode("ws").alias("at", "word"))
+    every = words.select(_shingle(F.col("ws"), F.col("at"), kind, lowered=True).alias("token"))
+    seen = every.join(_small(asked, 16), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
     ranked = tokens.join(seen, "token", "left").withColumn("order", F.struct(F.coalesce("seen", F.lit(0)), "token", "offset"))
     best = ranked.groupBy("item", "words").agg(F.min("order").alias("o"))
     return best.select("item", "words", F.col("o.token").alias("token"), F.col("o.offset").alias("offset"))
