@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, simhash, substring_dedup, warc
+from . import bpe, decontaminate, exact_dedup, licenses, simhash, substring_dedup, toxicity, warc
 from .tools import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ SELECT page_id, size AS payload_bytes, sha256(body) AS payload_digest, CASE WHEN
 FROM (SELECT page_id, body, strlen(body)::BIGINT AS size, min(page_id) OVER w AS low, strlen(body) >= 100 AND page_id > min(page_id) OVER w AS again
       FROM (SELECT page_id, coalesce(html, '') AS body FROM pages) WINDOW w AS (PARTITION BY body))
 """
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
