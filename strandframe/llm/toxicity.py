@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows used for fitting, and lexicon terms, at most.
 MAX_ROWS, MAX_TERMS = 20_000, 400
-#: A term must mark this many toxic rows, this many times as often as clean ones.
-LEAST, LIFT = 5, 4.0
+#: A term must mark toxic rows this many times as often as clean ones, and by no accident: least log-likelihood ratio.
+LIFT, RATIO = 4.0, 15.0
 #: Lengths of word stems.
 STEMS = range(4, 9)
 #: Pattern voters: distinct lexicon hits, and hits in a hundred words.
@@ -76,27 +77,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _count_terms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for pdf in it:
-        for label, body in zip(pdf["label"], pdf["body"]):
+    for batch in it:
+        for label, body in zip(batch["label"].to_pylist(), batch["body"].to_pylist()):
             seen[label].update(set().union(*map(terms_of, set(body.split()))))
-            if len(seen[0]) + len(seen[1]) > 2_000_000:
+            if len(seen[0]) + len(seen[1]) > 500_000:
                 yield from _flushed(seen)
     yield from _flushed(seen)
 
 
-def _flushed(seen: dict[int, Counter]) -> Iterator[pd.DataFrame]:
+def _flushed(seen: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
     for label, counts in seen.items():
-        yield pd.DataFrame({"term": list(counts), "label": label, "n": list(counts.values())}).astype({"n": "int64", "label": "int64"})
+        terms, n = pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())
+        yield pa.RecordBatch.from_arrays([terms, pa.array([label] * len(n), pa.int64()), n], ["term", "label", "n"])
         counts.clear()
 
 
 def choose_terms(rows: DataFrame, toxic: int, clean: int) -> list[str]:
-    counted = rows.mapInPandas(_count_terms, "term string, label long, n long").groupBy("term")
+    counted = rows.mapInArrow(_count_terms, "term string, label long, n long").groupBy("term")
     counted = counted.agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
     lift = (F.col("a") + 0.5) / (toxic + 1) / ((F.col("b") + 0.5) / (clean + 1))
-    best = counted.where((F.col("a") >= LEAST) & (lift >= LIFT)).orderBy((F.col("a") * F.log(lift)).desc(), "term").limit(MAX_TERMS)
+    share = toxic / (toxic + clean)
+    n = F.col("a") + F.col("b")
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
+    ratio = part("a", share) + part("b", 1 - share)
+    best = counted.where((lift >= LIFT) & (ratio >= RATIO)).orderBy(ratio.desc(), "term").limit(MAX_TERMS)
     return [r.term for r in best.collect()]
 
 
