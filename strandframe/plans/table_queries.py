@@ -282,10 +282,10 @@ def _alignments(spark, sf, side: int):
     q = F.lit(1) if side == 0 else F.lit(60) - n + 1
     flip = F.col("l_suppkey") % 2 == 1
     btop = F.when(F.col("l_partkey") % 3 == 0, F.concat_ws("AC", F.lit(7).cast("string"), (n - 8).cast("string"))).otherwise(n.cast("string"))
-    lo, hi = (start + 1).cast("int"), (start + n).cast("int")
+    lo, hi = (start + 1).cast("bigint"), (start + n).cast("bigint")
     return li.select(
-        F.expr("concat('r', l_orderkey)").alias("qseqid"), F.lit(60).alias("qlen"), F.expr("concat('s', l_orderkey % 5)").alias("sseqid"),
-        q.cast("int").alias("qstart"), (q + n - 1).cast("int").alias("qend"), F.when(flip, hi).otherwise(lo).alias("sstart"),
+        F.expr("concat('r', l_orderkey)").alias("qseqid"), F.lit(60).cast("bigint").alias("qlen"), F.expr("concat('s', l_orderkey % 5)").alias("sseqid"),
+        q.cast("bigint").alias("qstart"), (q + n - 1).cast("bigint").alias("qend"), F.when(flip, hi).otherwise(lo).alias("sstart"),
         F.when(flip, lo).otherwise(hi).alias("send"), btop.alias("btop"),
     )
 
