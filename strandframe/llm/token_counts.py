@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 1024
+from ..session import stored
+
+#: Lengths whose sums are formed together.
+BLOCK = 128
 
 
 @lru_cache(1)
@@ -47,7 +50,7 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
     Any limit between two lengths follows from the next larger row: truncated(c) = all tokens - tokens_at_least + c *
     docs_at_least.  An empty table gives an empty result.
     """
-    rows = lengths.withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    rows = stored(lengths).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
