@@ -60,7 +60,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     each, other columns are ignored.  With labels of one class only every candidate gets that class; without labels the
     score is 0.
     """
-    rows = stored(with_features(candidates(docs, id_col, text_col), docs, text_col))
+    rows = stored(with_features(stored(candidates(docs, id_col, text_col)), docs, text_col))
     if findings is not None:
         labelled = rows.join(findings.select("id", "at", F.col("label").cast("double").alias("label")), ["id", "at"])
     else:
