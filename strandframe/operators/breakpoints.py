@@ -2,24 +2,19 @@
 
 Spark does the work between reads: alignments meet annotation sites and genes
 by range joins, the two alignments of a read by an equality join, and the best
-pair of a read is one minimum.  Only the scoring of one pair of alignments is a
-small per-row function.
+pair of a read is one minimum.  Alignments become stretches with prefix sums,
+from which base scores and genome positions follow as array columns.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from itertools import accumulate
-from typing import NamedTuple
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chains as C
 from .ranges import point_join
 
+# Column names of the formats.
 FIELDS = ("qseqid", "qlen", "sseqid", "qstart", "qend", "sstart", "send", "btop")
 BREAKPOINT_FIELDS = (
     "read_name", "genome1_read_breakpoint", "genome2_read_breakpoint", "genome1_seqid", "genome2_seqid",
@@ -70,173 +65,117 @@ def profile(aln: DataFrame, sites: DataFrame, spans: DataFrame) -> DataFrame:
     return base.join(found, "aid", "left").join(genes, "aid", "left").withColumn("genes", F.coalesce("genes", F.lit("-"))).drop("aid")
 
 
-class View(NamedTuple):
-    """An alignment read in one direction."""
-
-    qlen: int
-    qstart: int
-    sstart: int
-    send: int
-    ops: list
-
-
-def _ops(btop: str) -> list:
-    return [int(n) if n else pair for n, pair in re.findall(r"(\d+)|([A-Za-z-]{2})", btop)]
-
-
-def _views(r) -> tuple[View, View]:
-    ops = _ops(r["btop"])
-    fwd = View(r["qlen"], r["qstart"], r["sstart"], r["send"], ops)
-    rev = View(r["qlen"], r["qlen"] - r["qend"] + 1, r["send"], r["sstart"], ops[::-1])
-    return fwd, rev
-
-
-def _scores(v: View) -> list[int]:
-    """Per read base: match 1, gap -1 on the base it precedes or removes, mismatch 0."""
-    out, i = [0] * v.qlen, v.qstart - 1
-    for op in v.ops:
-        if isinstance(op, int):
-            for k in range(i, i + op):
-                out[k] += 1
-            i += op
-        elif op[0] == "-":
-            out[i] -= 1
-        elif op[1] == "-":
-            out[i] -= 1
-            i += 1
-        else:
-            out[i] = 0
-            i += 1
-    return out
-
-
-def _track(v: View) -> list[tuple[int, int]]:
-    """(read index, genome position) in visiting order: before, within and after the aligned part."""
-    step = 1 if v.sstart < v.send else -1
-    out = [(i, v.sstart - step * (v.qstart - 1 - i)) for i in range(v.qstart - 2, -1, -1)]
-    read, pos = v.qstart - 1, v.sstart
-    out.append((read, pos))
-    for op in v.ops:
-        if isinstance(op, int):
-            out += [(read + k, pos + step * k) for k in range(1, op + 1)]
-            read, pos = read + op, pos + step * op
-        elif op[0] == "-":
-            pos += step
-        elif op[1] == "-":
-            read += 1
-        else:
-            read, pos = read + 1, pos + step
-            out.append((read, pos))
-    return out + [(i, pos + step * (i - read)) for i in range(read, v.qlen)]
-
-
-def _marks(track, sites) -> list[tuple[int, str]]:
-    table = {s["pos"]: s["gene"] for s in sites} if sites is not None else {}
-    return [(i, table[p]) for i, p in track if p in table] if table else []
-
-
-def _junctions(donors, acceptors, full: int, half: int):
-    """Candidate (donor, acceptor) marks as (index, label, weight) or None.
-
-    The first partner a mark meets decides its weight.
+def _runs(btop, first):
+    """Stretches of an alignment: read index q, length n, moves on read (r) and genome (g), score s of a base."""
+    def stretch(o):
+        number = o.rlike("^[0-9]")
+        gap_read, gap_genome = o.startswith("-"), o.endswith("-")
+        return F.struct(
+            F.when(number, o.try_cast("int")).otherwise(1).alias("n"), (~gap_read).cast("int").alias("r"), (~gap_genome).cast("int").alias("g"),
+            F.when(number, 1).when(gap_read | gap_genome, -1).otherwise(0).alias("s"),
+        )
+
+    def append(state, x):
+        row = F.struct(state["q"].alias("q"), x["n"].alias("n"), x["r"].alias("r"), x["g"].alias("g"), x["s"].alias("s"))
+        return F.struct((state["q"] + x["n"] * x["r"]).alias("q"), F.concat(state["rows"], F.array(row)).alias("rows"))
+
+    none = F.array().cast("array<struct<q:int,n:int,r:int,g:int,s:int>>")
+    return F.aggregate(F.transform(btop, stretch), F.struct(first.cast("int").alias("q"), none.alias("rows")), append, lambda s: s["rows"])
+
+
+def _total(values, of):
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + of(x))
+
+
+def _bases(runs, qlen):
+    """Score of every read base: a gap counts on the base it takes or comes before."""
+    here = lambda x: lambda u: F.when((u["q"] <= x) & (x < u["q"] + F.greatest(u["n"] * u["r"], F.lit(1))), u["s"]).otherwise(0)
+    return F.transform(F.sequence(F.lit(0), qlen.cast("int") - 1), lambda x: _total(runs, here(x)))
+
+
+def _places(runs, qlen, first, start, step):
+    """Genome position at every border of the read, extended in a straight line beyond the aligned part.
+
+    Gaps left of a border shift it; a border behind a base that the genome lacks has no position.
     """
-    def weigh(marks, partners, gap):
-        first = partners[0][0] if partners else None
-        return [(i, lab, full if first is not None and (first - i) * gap == 1 else half) for i, lab in marks]
-
-    ds, ac = weigh(donors, acceptors, 1), weigh(acceptors, donors, -1)
-    if not ds or not ac:
-        return [(None, a) for a in ac] + [(d, None) for d in ds]
-    out = []
-    for d in ds:
-        for a in ac:
-            out += [(d, a)] if a[0] - d[0] == 1 else [(d, None), (None, a)]
-    return list(dict.fromkeys(out))
-
-
-def _trial(one: list[int], two: list[int], swapped: bool, donors, acceptors, full: int, half: int):
-    """Best (score, breakpoint, vector, label1, label2) of one direction and order."""
-    n = len(one)
-    left, right = (two, one) if swapped else (one, two)
-    # the border maximises read 1 before read 2 in both orders; ties give their rounded-down mean
-    head = [0, *accumulate(one)]
-    tail = [0, *accumulate(two)]
-    sums = [head[i] + tail[n] - tail[i] for i in range(n)]
-    top = max(sums)
-    ties = [i for i, s in enumerate(sums) if s == top]
-    cut = sum(ties) // len(ties)
-    vec = left[:cut] + right[cut:]
-    best = (sum(vec) / n, cut, vec, None, None)
-    for d, a in _junctions(donors, acceptors, full, half):
-        lo, hi = left, right
-        if d is not None and d[0] < n:
-            lo = [*left[: d[0]], d[2], *left[d[0] + 1 :]]
-        if a is not None and a[0] < n:
-            hi = [*right[: a[0]], a[2], *right[a[0] + 1 :]]
-        for mark in (d, a):
-            if mark is not None:
-                vec = lo[: mark[0] + 1] + hi[mark[0] + 1 :]
-                score = sum(vec) / len(vec)
-                if score > best[0]:
-                    best = (score, mark[0], vec, d[1] if d else None, a[1] if a else None)
-    return best
-
-
-def _read_profile(r) -> list[tuple]:
-    """Per direction: scores, track, donor marks, acceptor marks."""
-    out = []
-    for v in _views(r):
-        track = _track(v)
-        out.append((_scores(v), track, _marks(track, r["donors"]), _marks(track, r["acceptors"])))
-    return out
-
-
-def _score_pair(p1: list[tuple], p2: list[tuple], full: int, half: int) -> dict:
-    best = None
-    for (s1, t1, d1, a1), (s2, t2, d2, a2) in zip(p1, p2):
-        runs = [(_trial(s1, s2, False, d1, a2, full, half), t1, t2), (_trial(s1, s2, True, d2, a1, full, half), t1, t2)]
-        for run in runs:
-            if best is None or run[0][0] > best[0][0]:
-                best = run
-    (score, cut, vec, lab1, lab2), t1, t2 = best
-    place = lambda track, i: next((p for k, p in track if k == i), None)
-    return {
-        "score": score, "genome1_read_breakpoint": cut, "genome2_read_breakpoint": cut - 1,
-        "genome1_breakpoint": place(t1, cut), "genome2_breakpoint": place(t2, cut - 1),
-        "junction1": lab1 or "-", "junction2": lab2 or "-", "binread": "".join(map(str, vec)),
-    }
-
-
-_RESULT = (
-    "score double, genome1_read_breakpoint bigint, genome2_read_breakpoint bigint, genome1_breakpoint bigint, "
-    "genome2_breakpoint bigint, junction1 string, junction2 string, binread string"
-)
+    shift = lambda x: _total(runs, lambda u: F.when(u["q"] < x, u["g"] - u["r"]).otherwise(0))
+    lacks = lambda x: F.exists(runs, lambda u: (u["g"] == 0) & (u["q"] == x - 1))
+    return F.transform(F.sequence(F.lit(0), qlen.cast("int") - 1), lambda x: F.when(~lacks(x), start + step * (x - first + shift(x))))
+
+
+def _marks(places, sites):
+    """(i, label): borders of the read at annotated sites, in read order."""
+    none = F.array().cast("array<struct<pos:bigint,gene:string>>")
+    found = F.transform(F.coalesce(sites, none), lambda s: F.struct((F.array_position(places, s["pos"]) - 1).cast("int").alias("i"), s["gene"].alias("label")))
+    return F.array_sort(F.filter(found, lambda m: m["i"] >= 0))
+
+
+def with_ways(aln: DataFrame) -> DataFrame:
+    """``aln`` with ``ways``: bases, places, donors and acceptors of both reading directions."""
+    ops = F.regexp_extract_all("btop", F.lit("[0-9]+|[A-Za-z-]{2}"), F.lit(0))
+    step = F.when(F.col("sstart") < F.col("send"), 1).otherwise(-1)
+    for way, ordered, first, start, turn in (("f", ops, F.col("qstart") - 1, "sstart", step), ("r", F.reverse(ops), F.col("qlen") - F.col("qend"), "send", -step)):
+        aln = aln.withColumn(f"_runs_{way}", _runs(ordered, first))
+        aln = aln.withColumn(f"_at_{way}", _places(F.col(f"_runs_{way}"), F.col("qlen"), first, F.col(start), turn))
+    one = lambda w: F.struct(
+        _bases(F.col(f"_runs_{w}"), F.col("qlen")).alias("bases"), F.col(f"_at_{w}").alias("places"),
+        _marks(F.col(f"_at_{w}"), F.col("donors")).alias("donors"), _marks(F.col(f"_at_{w}"), F.col("acceptors")).alias("acceptors"),
+    )
+    return aln.withColumn("ways", F.array(one("f"), one("r"))).drop("_runs_f", "_runs_r", "_at_f", "_at_r", "donors", "acceptors")
+
+
+def border(one, two):
+    """The cut that maximises ``one`` before and ``two`` behind it; the rounded-down mean of tied cuts."""
+    start = F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in (("i", 0), ("sum", 0), ("top", None), ("at", 0), ("ties", 0))])
+
+    def step(a, gain):
+        more, tie = a["top"].isNull() | (a["sum"] > a["top"]), a["sum"] == a["top"]
+        return F.struct(
+            (a["i"] + 1).alias("i"), (a["sum"] + gain).alias("sum"), F.when(more, a["sum"]).otherwise(a["top"]).alias("top"),
+            F.when(more, a["i"]).when(tie, a["at"] + a["i"]).otherwise(a["at"]).alias("at"),
+            F.when(more, F.lit(1).cast("bigint")).when(tie, a["ties"] + 1).otherwise(a["ties"]).alias("ties"),
+        )
+
+    return F.aggregate(F.zip_with(one, two, lambda a, b: a - b), start, step, lambda a: F.floor(a["at"] / a["ties"]).cast("int"))
+
+
+def cuts(left, right, donors, acceptors, cut, full: int, half: int):
+    """Candidate cuts: the border, donors, acceptors, and donors directly before an acceptor.
+
+    A lone donor weighs ``half``; donor and acceptor side by side weigh ``full`` each.
+    """
+    def candidate(at, kept, weights, label1=None, label2=None):
+        mid = F.array(*[F.lit(w).cast("bigint") for w in weights]).cast("array<bigint>")
+        rest = F.slice(right, kept + len(weights) + 1, F.size(right))
+        text = lambda x: F.lit(None).cast("string") if x is None else x
+        vector = F.concat(F.slice(left, F.lit(1), kept), mid, rest)
+        return F.struct(at.alias("cut"), vector.alias("vector"), text(label1).alias("junction1"), text(label2).alias("junction2"))
+
+    lone_d = F.transform(donors, lambda d: candidate(d["i"], d["i"], [half], d["label"]))
+    lone_a = F.transform(acceptors, lambda a: candidate(a["i"], a["i"] + 1, [], None, a["label"]))
+    beside = lambda d: F.filter(acceptors, lambda a: a["i"] == d["i"] + 1)
+    both = F.flatten(F.transform(donors, lambda d: F.transform(beside(d), lambda a: candidate(d["i"], d["i"], [full, full], d["label"], a["label"]))))
+    return F.concat(F.array(candidate(cut, cut, [])), both, lone_d, lone_a)
 
 
 def score_pairs(pairs: DataFrame, full: int = 5, half: int = 3) -> DataFrame:
-    """Score each pair of alignments (columns ``*_1`` and ``*_2``)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fields = [*FIELDS, "donors", "acceptors"]
-        for pdf in batches:
-            out, seen = [], {}
-            for row in pdf.to_dict("records"):
-                side = []
-                for k in (1, 2):
-                    key = (k, row[f"line_{k}"])
-                    if key not in seen:
-                        seen[key] = _read_profile({f: row[f"{f}_{k}"] for f in fields})
-                    side.append(seen[key])
-                got = _score_pair(*side, full, half)
-                out.append({
-                    "read_name": row["qseqid_1"], "line_1": row["line_1"], "line_2": row["line_2"], "genome1_seqid": row["sseqid_1"],
-                    "genome2_seqid": row["sseqid_2"], "gene1": row["genes_1"], "gene2": row["genes_2"], **got,
-                })
-            yield pd.DataFrame(out, columns=names)
-
-    schema = "read_name string, line_1 string, line_2 string, genome1_seqid string, genome2_seqid string, gene1 string, gene2 string, " + _RESULT
-    names = [c.split()[0] for c in schema.split(", ")]
-    return pairs.mapInPandas(run, schema)
+    """The best cut of each trial of a pair of alignments (columns ``*_1`` and ``*_2``): both directions, both orders."""
+    keep = [F.col("qseqid_1").alias("read_name"), "line_1", "line_2", F.col("sseqid_1").alias("genome1_seqid"), F.col("sseqid_2").alias("genome2_seqid"),
+            F.col("genes_1").alias("gene1"), F.col("genes_2").alias("gene2")]
+    each = pairs.select(*keep, F.posexplode(F.arrays_zip("ways_1", "ways_2")).alias("way", "w"))
+    each = each.select("*", F.col("w.ways_1").alias("one"), F.col("w.ways_2").alias("two")).drop("w")
+    each = each.withColumn("cut", border(F.col("one.bases"), F.col("two.bases")))
+    straight = cuts(F.col("one.bases"), F.col("two.bases"), F.col("one.donors"), F.col("two.acceptors"), F.col("cut"), full, half)
+    crossed = cuts(F.col("two.bases"), F.col("one.bases"), F.col("two.donors"), F.col("one.acceptors"), F.col("cut"), full, half)
+    tried = each.select("*", F.posexplode(F.concat(straight, crossed)).alias("nth", "t"))
+    return tried.select(
+        *[c for c in each.columns if c not in ("one", "two", "cut", "way")], F.struct("way", "nth").alias("trial"),
+        (_total(F.col("t.vector"), lambda x: x) / F.size("t.vector")).alias("score"),
+        F.col("t.cut").cast("bigint").alias("genome1_read_breakpoint"), (F.col("t.cut") - 1).cast("bigint").alias("genome2_read_breakpoint"),
+        F.get("one.places", F.col("t.cut")).alias("genome1_breakpoint"), F.get("two.places", F.col("t.cut") - 1).alias("genome2_breakpoint"),
+        F.coalesce("t.junction1", F.lit("-")).alias("junction1"), F.coalesce("t.junction2", F.lit("-")).alias("junction2"),
+        F.array_join(F.col("t.vector").cast("array<string>"), "").alias("binread"),
+    )
 
 
 def find_breakpoints(
@@ -247,11 +186,11 @@ def find_breakpoints(
     Highest score first; of equal scores the first pair in line order.  Copies
     of an alignment are removed before pairs are formed.
     """
-    p1 = profile(aln1, splice_sites(tx1), gene_spans(tx1))
-    p2 = profile(aln2, splice_sites(tx2), gene_spans(tx2))
+    p1 = with_ways(profile(aln1, splice_sites(tx1), gene_spans(tx1)))
+    p2 = with_ways(profile(aln2, splice_sites(tx2), gene_spans(tx2)))
     tag = lambda p, k: p.select(F.col("qseqid").alias("_read"), *[F.col(c).alias(f"{c}_{k}") for c in p.columns])
     scored = score_pairs(tag(p1, 1).join(tag(p2, 2), "_read").drop("_read"), full, half)
-    rank = F.struct((-F.col("score")).alias("neg"), "line_1", "line_2")
+    rank = F.struct((-F.col("score")).alias("neg"), "line_1", "line_2", "trial")
     cols = [c for c in BREAKPOINT_FIELDS if c != "read_name"]
     return scored.groupBy("read_name").agg(F.min_by(F.struct(*cols), rank).alias("b")).select("read_name", "b.*")
 

@@ -42,15 +42,38 @@ def test_golden_groups(spark, data):
         assert got == sorted(tuple(r) for r in want.select(*cols).collect())
 
 
-def test_border_is_mean_of_best_positions():
+def test_border_is_mean_of_best_positions(spark):
     rng = random.Random(3)
+    rows = []
     for _ in range(200):
         n = rng.randint(1, 12)
-        a, b = ([rng.choice([-1, 0, 1]) for _ in range(n)] for _ in range(2))
-        totals = [sum(a[:i]) + sum(b[i:]) for i in range(n)]
-        best = [i for i in range(n) if totals[i] == max(totals)]
-        cut = sum(best) // len(best)
-        for swapped in (False, True):
-            score, at, vec, *_ = B._trial(a, b, swapped, [], [], 5, 3)
-            left, right = (b, a) if swapped else (a, b)
-            assert at == cut and vec == left[:cut] + right[cut:] and score == sum(vec) / n
+        rows.append(tuple([rng.choice([-1, 0, 1]) for _ in range(n)] for _ in range(2)))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").withColumn("cut", B.border(F.col("a"), F.col("b")))
+    none = F.array().cast("array<struct<i:int,label:string>>")
+    for swapped in (False, True):
+        left, right = ("b", "a") if swapped else ("a", "b")
+        for r in df.withColumn("t", B.cuts(F.col(left), F.col(right), none, none, F.col("cut"), 5, 3)).collect():
+            n = len(r.a)
+            totals = [sum(r.a[:i]) + sum(r.b[i:]) for i in range(n)]
+            best = [i for i in range(n) if totals[i] == max(totals)]
+            assert r.cut == sum(best) // len(best)
+            assert [(x.cut, x.vector) for x in r.t] == [(r.cut, r[left][: r.cut] + r[right][r.cut :])]
+
+
+def test_hand_worked_read(spark):
+    """Eight bases: a gap in the read before base 2, a base the genome lacks at 4; donor and acceptor side by side."""
+    cols = "qseqid string, qlen bigint, sseqid string, qstart bigint, qend bigint, sstart bigint, send bigint, btop string, donors array<struct<pos:bigint,gene:string>>, acceptors array<struct<pos:bigint,gene:string>>"
+    one = spark.createDataFrame([("r", 8, "h", 1, 6, 100, 105, "2-A2C-1", [(102, "g")], [])], cols)
+    ways = B.with_ways(one).first().ways
+    assert ways[0].bases == [1, 1, 0, 1, -1, 1, 0, 0]
+    assert ways[0].places == [100, 101, 102, 104, 105, None, 106, 107]
+    assert [tuple(m) for m in ways[0].donors] == [(2, "g")]
+    none = F.array().cast("array<struct<i:int,label:string>>")
+    mark = lambda i, g: F.array(F.struct(F.lit(i).alias("i"), F.lit(g).alias("label")))
+    base = spark.createDataFrame([([1, 1, 1, 0, 0], [0, 0, 0, 1, 1], 3)], "a array<bigint>, b array<bigint>, cut int")
+    got = base.select(B.cuts(F.col("a"), F.col("b"), mark(2, "d"), mark(3, "e"), F.col("cut"), 5, 3).alias("t")).first().t
+    assert [tuple(x) for x in got] == [
+        (3, [1, 1, 1, 1, 1], None, None), (2, [1, 1, 5, 5, 1], "d", "e"), (2, [1, 1, 3, 1, 1], "d", None), (3, [1, 1, 1, 0, 1], None, "e"),
+    ]
+    got = base.select(B.cuts(F.col("a"), F.col("b"), none, none, F.col("cut"), 5, 3).alias("t")).first().t
+    assert len(got) == 1
