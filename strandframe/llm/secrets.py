@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame and ML operations only.
 
-A candidate is a run of at least ``SHORTEST`` key characters with a digit.  Features: length, shares of digits and upper
+A candidate is a run of at least ``SHORTEST`` key characters with a digit; a token may hold several.  Features: length, shares of digits and upper
 case, changes of character class, distinct characters, share covered by dictionary words (letter runs that also stand alone
 in the texts), a path around it, an assignment, and neighbouring words that name keys.
 
@@ -28,12 +28,14 @@ FEATURES = ["length", "digits", "upper", "changes", "distinct", "covered", "path
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, value, before, token): at counts the text's tokens between white space from 0."""
+    """(id, at, nth, value, left, token): at counts the text's tokens between white space from 0, nth the runs of key
+    characters in a token; left is what stands before the value, two tokens back at most."""
     tokens = docs.select(F.col(id_col).alias("id"), F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"\s+").alias("ts"))
     each = tokens.select("id", "ts", F.posexplode("ts").alias("at", "token")).where(F.length("token") >= SHORTEST)
     near = F.concat_ws(" ", F.get("ts", F.col("at") - 2), F.get("ts", F.col("at") - 1))
-    out = each.select("id", "at", "token", F.regexp_extract("token", VALUE, 0).alias("value"), near.alias("before"))
-    return out.where(F.col("value").rlike("[0-9]"))
+    runs = each.select("id", "at", "token", near.alias("near"), F.posexplode(F.regexp_extract_all("token", F.lit(VALUE), F.lit(0))).alias("nth", "value"))
+    head = F.substring("token", F.lit(1), F.expr("instr(token, value) - 1"))
+    return runs.where(F.col("value").rlike("[0-9]")).select("id", "at", "nth", "value", F.concat_ws(" ", "near", head).alias("left"), "token")
 
 
 def with_features(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -41,8 +43,8 @@ def with_features(found: DataFrame, docs: DataFrame, text_col: str = "text") ->
     found = found.withColumns({
         "length": F.length("value").cast("double"), "digits": share("[0-9]"), "upper": share("[A-Z]"),
         "changes": share("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])"), "distinct": F.size(F.array_distinct(F.split("value", ""))) / F.length("value"),
-        "path": F.col("token").rlike(r"://|/[^/]*/").cast("double"), "assigned": F.concat_ws(" ", "before", "token").rlike(r"[=:]\s*[\"']?[A-Za-z0-9+/_\-]*").cast("double"),
-        "key_near": F.concat_ws(" ", "before", "token").rlike(KEY).cast("double"), "runs": F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{4,}"), F.lit(0)),
+        "path": F.col("token").rlike(r"://|/[^/]*/").cast("double"), "assigned": F.col("left").rlike(r"[=:]\s*[\"'`(]*$").cast("double"),
+        "key_near": F.col("left").rlike(KEY).cast("double"), "runs": F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{4,}"), F.lit(0)),
     })
     asked = stored(found.select(F.explode("runs").alias("run")).distinct())
     few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
@@ -54,19 +56,19 @@ def with_features(found: DataFrame, docs: DataFrame, text_col: str = "text") ->
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each candidate: id, at, length, value_sha256, score, is_secret; texts without one give no row.
+    """A row for each candidate: id, at, nth, length, value_sha256, score, is_secret; texts without one give no row.
 
-    ``findings`` (id, at, label 0/1) are labelled candidates.  A null text has no candidate, repeated rows are answered
+    ``findings`` (id, at, nth, label 0/1) are labelled candidates.  A null text has no candidate, repeated rows are answered
     each, other columns are ignored.  With labels of one class only every candidate gets that class; without labels the
     score is 0.
     """
     rows = stored(with_features(stored(candidates(docs, id_col, text_col)), docs, text_col))
     if findings is not None:
-        labelled = rows.join(findings.select("id", "at", F.col("label").cast("double").alias("label")), ["id", "at"])
+        labelled = rows.join(findings.select("id", "at", "nth", F.col("label").cast("double").alias("label")), ["id", "at", "nth"])
     else:
         rule = F.when((F.col("assigned") == 1) & (F.col("key_near") == 1) & (F.col("path") == 0), 1.0).when((F.col("digits") == 1) | (F.col("path") == 1), 0.0)
         labelled = rows.withColumn("label", rule)
-    sample = stored(labelled.where("label IS NOT NULL").orderBy(F.xxhash64("value", "id"), "at").limit(MAX_ROWS).select("label", *FEATURES))
+    sample = stored(labelled.where("label IS NOT NULL").orderBy(F.xxhash64("value", "id"), "at", "nth").limit(MAX_ROWS).select("label", *FEATURES))
     classes = [r.label for r in sample.select("label").distinct().collect()]
     if len(classes) < 2:
         scored = rows.withColumn("score", F.lit(float(classes[0]) if classes else 0.0))
@@ -74,5 +76,5 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="_x")
         forest = RandomForestClassifier(labelCol="label", featuresCol="_x", numTrees=TREES, maxDepth=DEPTH, seed=8)
         scored = forest.fit(assemble.transform(sample)).transform(assemble.transform(rows)).withColumn("score", vector_to_array("probability")[1])
-    return scored.select(F.col("id").alias(id_col), F.col("at").cast("long").alias("at"), F.col("length").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+    return scored.select(F.col("id").alias(id_col), F.col("at").cast("long").alias("at"), F.col("nth").cast("long").alias("nth"), F.col("length").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"),
                          "score", (F.col("score") >= 0.5).alias("is_secret"))

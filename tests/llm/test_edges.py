@@ -76,3 +76,19 @@ def test_toxicity_without_labels(spark, docs):
     got = toxicity.toxicity(docs, none).collect()
     assert len(got) == len(ROWS) and {r.predicted for r in got} == {0} and all(0 <= r.score < 0.5 for r in got)
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_secrets_in_one_token(spark):
+    key = "a1b2" * 6
+    rows = [(1, f"x AWS_SECRET_ACCESS_KEY={key};session_token_value={key[::-1]} y"), (2, "see http://host/" + "c3d4" * 6), (3, "12345678901234567")]
+    got = {(r.doc_id, r.nth): r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (1, 3), (2, 0), (3, 0)}
+    assert got[1, 1].value_sha256 == hashlib.sha256(key.encode()).hexdigest() and got[1, 1].is_secret and got[1, 3].is_secret
+    assert not got[2, 0].is_secret and not got[3, 0].is_secret
+
+
+def test_secrets_from_findings(spark):
+    rows = [(i, f"value {'q7' * 9} at" if i % 2 else f"build {'1' * 18} at") for i in range(40)]
+    found = spark.createDataFrame([(i, 1, 0, i % 2) for i in range(40)], "id long, at int, nth int, label int")
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), found).collect()
+    assert len(got) == 40 and all(r.is_secret == (r.doc_id % 2 == 1) for r in got)
