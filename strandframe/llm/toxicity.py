@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 #: Labelled rows used for fitting, and lexicon terms, at most.
 MAX_ROWS, MAX_TERMS = 20_000, 400
 #: A term must mark toxic rows this many times as often as clean ones, and by no accident: least log-likelihood ratio.
@@ -181,7 +183,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model; without toxic or clean training rows, or without a telling term, a constant below 0.5."""
-    rows = _training(docs, labels, id_col, text_col)
+    rows = stored(_training(docs, labels, id_col, text_col))
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     prior = min(0.49, (toxic + 0.5) / (toxic + clean + 2))
