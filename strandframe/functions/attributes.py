@@ -17,10 +17,12 @@ KEY_ORDER = (
 def parse_attributes(text: Column, gff: bool = False, keep: str = "first") -> Column:
     """Attribute text to a map; malformed pieces are skipped.
 
-    ``keep`` decides which value of a repeated key stays, "first" or "last".
+    ``keep`` decides which value of a repeated key stays, "first" or "last".  The two are the two text formats' rules: with
+    "first" every semicolon ends a piece, with "last" one between quotes belongs to the value.
     """
     sep = "=" if gff else ' "'
-    bare = F.transform(F.split(text, ";"), lambda p: F.btrim(F.trim(p), F.lit('"')))
+    cut = F.split(text, ";") if keep == "first" else F.regexp_extract_all(text, F.lit(r'(?:[^";]|"[^"]*"|")+'), F.lit(0))
+    bare = F.transform(cut, lambda p: F.btrim(F.trim(p), F.lit('"')))
     # exactly one separator, as in the text format
     pieces = F.filter(bare, lambda p: (F.instr(p, sep) > 1) & (F.instr(F.substring(p, F.instr(p, sep) + 1, F.length(p)), sep) == 0))
 

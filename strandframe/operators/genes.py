@@ -72,8 +72,13 @@ def coding_stats(tx: DataFrame) -> DataFrame:
 
 
 def adjacent_overlaps(tx: DataFrame) -> DataFrame:
-    """Genes whose span reaches past the start of the next gene on the axis, and that next gene."""
-    g = tx.groupBy(*AXIS, "gene").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    """Genes whose coding span reaches past the start of the next coding gene on the axis, and that next gene.
+
+    ``tx`` has cds, an empty chain if not coding; genes without a coding transcript take no part.
+    """
+    cds = F.col("cds")
+    coding = tx.where(F.size(cds) > 0).select(*AXIS, "gene", C.chain_start(cds).alias("start"), C.chain_end(cds).alias("end"))
+    g = coding.groupBy(*AXIS, "gene").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     first = F.struct("start", "end", F.col("gene").alias("g"))
     heads = g.groupBy(*AXIS, "start").agg(F.min(first).alias("head"))
     nxt = running(heads, AXIS, "start", {"nxt": ("head", "min")}, reverse=True).drop("head")
@@ -96,7 +101,7 @@ def gene_filter(
     """Transcripts of the genes that pass every filter (anti joins on gene ids).
 
     ``seqids`` lists the sequences to keep, ``keep`` the genes to keep.
-    Text filters use the ``attributes`` column.
+    Text filters use the ``attributes`` column, ``drop_overlapping`` the ``cds`` column.
     """
     from ..functions.attributes import mentions
 

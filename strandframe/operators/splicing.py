@@ -45,7 +45,7 @@ def splicing_changes(query: DataFrame, template: DataFrame) -> DataFrame:
         low, high = C.first_positions(chain, 3), C.first_positions(chain, 3, reverse=True)
         ok = low.isNotNull() & high.isNotNull()
         pos = F.when(minus, high).otherwise(low) if at_start else F.when(minus, low).otherwise(high)
-        return tx.where(F.size("cds") > 0).where(ok).select(F.array_join(pos, ",").alias("codon")).distinct()
+        return tx.where(F.size("cds") > 0).where(ok).select(*AXIS, F.array_join(pos, ",").alias("codon")).distinct()
 
     def count(df: DataFrame, label: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("count")).select(F.lit(label).alias("label"), "count")

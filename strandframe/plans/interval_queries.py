@@ -353,19 +353,19 @@ def coding_stats(spark, sf):
     return genes.coding_stats(coding(stored_transcripts(spark, sf)))
 
 
-@query("adjacent_overlap_genes", f"""WITH {S.TX}, g AS (SELECT seqid, strand, gene, min(ts) AS s, max(te) AS e FROM tx GROUP BY 1,2,3),
+@query("adjacent_overlap_genes", f"""WITH {S.TX}, {S.CDS}, g AS (SELECT seqid, strand, gene, min(s) AS s, max(e) AS e FROM cds GROUP BY 1,2,3),
 l AS (SELECT *, lead(s) OVER w AS ns, lead(gene) OVER w AS ng FROM g WINDOW w AS (PARTITION BY seqid, strand ORDER BY s, e, gene))
 SELECT gene FROM l WHERE e>ns UNION SELECT ng FROM l WHERE e>ns""")
 def adjacent_overlap_genes(spark, sf):
-    return genes.adjacent_overlaps(stored_transcripts(spark, sf))
+    return genes.adjacent_overlaps(coding(stored_transcripts(spark, sf)))
 
 
-@query("clean_genes", f"""WITH {S.TX}, g AS (SELECT seqid, strand, gene, min(ts) AS s, max(te) AS e FROM tx GROUP BY 1,2,3),
+@query("clean_genes", f"""WITH {S.TX}, {S.CDS}, g AS (SELECT seqid, strand, gene, min(s) AS s, max(e) AS e FROM cds GROUP BY 1,2,3),
 l AS (SELECT *, lead(s) OVER w AS ns, lead(gene) OVER w AS ng FROM g WINDOW w AS (PARTITION BY seqid, strand ORDER BY s, e, gene)),
 bad AS (SELECT gene FROM l WHERE e>ns UNION SELECT ng FROM l WHERE e>ns UNION SELECT gene FROM tx GROUP BY gene HAVING max(nx)=1)
 SELECT tid, gene FROM tx WHERE gene NOT IN (SELECT gene FROM bad)""")
 def clean_genes(spark, sf):
-    return genes.gene_filter(stored_transcripts(spark, sf)).select("tid", "gene")
+    return genes.gene_filter(coding(stored_transcripts(spark, sf))).select("tid", "gene")
 
 
 @query("dedupe_chains", f"""WITH {S.TX}, s AS (SELECT *, tid%7 AS ilpi, tid%11 AS mom FROM tx),
@@ -432,12 +432,12 @@ UNION ALL SELECT '{label3[2]}', count(DISTINCT tid) FROM {q} b WHERE NOT b.is_te
 
 @query("splicing_changes", f"""WITH {S.TX}, {S.CDS}, gap AS (SELECT tid, seqid, strand, is_template, s+1 AS s, e-1 AS e FROM intr),
 cg0 AS (SELECT tid, seqid, strand, is_template, e+1 AS s, lead(s) OVER (PARTITION BY tid ORDER BY s)-1 AS e FROM cds), cgap AS (SELECT * FROM cg0 WHERE e IS NOT NULL),
-cpos AS (SELECT tid, strand, is_template, unnest(range(s, e+1)) AS p FROM cds),
+cpos AS (SELECT tid, seqid, strand, is_template, unnest(range(s, e+1)) AS p FROM cds),
 rk AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY p) AS lo, row_number() OVER (PARTITION BY tid ORDER BY p DESC) AS hi FROM cpos),
-cod AS (SELECT tid, is_template, strand, string_agg(p, ',' ORDER BY p) FILTER (WHERE lo<=3) AS f, string_agg(p, ',' ORDER BY p DESC) FILTER (WHERE hi<=3) AS r FROM rk GROUP BY 1,2,3 HAVING count(*)>=3),
-se AS (SELECT is_template, CASE WHEN strand='-' THEN r ELSE f END AS st, CASE WHEN strand='-' THEN f ELSE r END AS en FROM cod)
-SELECT 'Alternative Starts' AS label, count(*) AS count FROM (SELECT st FROM se WHERE NOT is_template EXCEPT SELECT st FROM se WHERE is_template)
-UNION ALL SELECT 'Alternative Ends', count(*) FROM (SELECT en FROM se WHERE NOT is_template EXCEPT SELECT en FROM se WHERE is_template)
+cod AS (SELECT tid, seqid, is_template, strand, string_agg(p, ',' ORDER BY p) FILTER (WHERE lo<=3) AS f, string_agg(p, ',' ORDER BY p DESC) FILTER (WHERE hi<=3) AS r FROM rk GROUP BY 1,2,3,4 HAVING count(*)>=3),
+se AS (SELECT seqid, strand, is_template, CASE WHEN strand='-' THEN r ELSE f END AS st, CASE WHEN strand='-' THEN f ELSE r END AS en FROM cod)
+SELECT 'Alternative Starts' AS label, count(*) AS count FROM (SELECT seqid, strand, st FROM se WHERE NOT is_template EXCEPT SELECT seqid, strand, st FROM se WHERE is_template)
+UNION ALL SELECT 'Alternative Ends', count(*) FROM (SELECT seqid, strand, en FROM se WHERE NOT is_template EXCEPT SELECT seqid, strand, en FROM se WHERE is_template)
 UNION ALL {_block(("Total number of Exons in Template", "Template Exons Skipped", "Query Transcripts Skipping tmpl Exons"), "exon", "gap")}
 UNION ALL {_block(("Total number of Coding Exons in Template", "Template Coding Exons Skipped", "Query Transcripts Skipping tmpl Coding Exons"), "cds", "gap")}
 UNION ALL {_block(("Total number of introns in Template", "Template Introns Retained", "Query Transcripts Retaining tmpl Introns"), "gap", "exon")}

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chains as C
-from ..operators.islands import merge_intervals
 from ..session import stored
 
 
@@ -40,17 +39,21 @@ def raw_exons(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _chains(spark: SparkSession, sf: str) -> DataFrame:
+    """(tid, chain): one exchange on tid; equal line items meet before it.  A transcript is one row by the data model."""
+    held = raw_exons(spark, sf).groupBy("tid").agg(F.collect_set(C.interval(F.col("s"), F.col("e"))).alias("all"))
+    return held.select("tid", C.merge(F.col("all")).alias("chain"))
+
+
 def exons(spark: SparkSession, sf: str) -> DataFrame:
     """(tid, s, e, seqid, strand, is_template, gene) with disjoint exons per transcript."""
-    merged = merge_intervals(raw_exons(spark, sf), ["tid"])
-    return merged.select("tid", "s", "e", *axis_columns())
+    one = _chains(spark, sf).select("tid", F.explode("chain").alias("x"))
+    return one.select("tid", "x.s", "x.e", *axis_columns())
 
 
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:
     """One row per transcript: tid, chain, start, end and the axis columns."""
-    merged = merge_intervals(raw_exons(spark, sf), ["tid"])
-    chained = merged.groupBy("tid").agg(C.collect_chain().alias("chain"))
-    return chained.select(
+    return _chains(spark, sf).select(
         "tid", "chain",
         C.chain_start(F.col("chain")).alias("start"),
         C.chain_end(F.col("chain")).alias("end"),

@@ -129,3 +129,17 @@ def test_sequence_representatives(spark):
     rows = [("g", 1, base), ("g", 2, base), ("g", 3, base[:390]), ("g", 4, other), ("h", 5, base)]
     got = {r["id"]: r["representative"] for r in similarity.sequence_representatives(spark.createDataFrame(rows, "grp string, id int, seq string")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_coding_spans_decide_overlap(spark):
+    from strandframe.operators import genes
+
+    chain = "array(named_struct('s', {}L, 'e', {}L))"
+    gene = lambda g, s, e, cs, ce: spark.sql(
+        f"SELECT 'a' AS seqid, '+' AS strand, '{g}' AS gene, '{g}t' AS tid, {s}L AS start, {e}L AS end, {chain.format(s, e)} AS chain, "
+        + (f"{chain.format(cs, ce)} AS cds" if cs else f"filter({chain.format(s, e)}, x -> false) AS cds")
+    )
+    # g1 and g2 touch outside their coding parts only; g3 and g4 overlap in them; n is not coding
+    rows = gene("g1", 1, 50, 10, 30).union(gene("g2", 40, 90, 60, 80)).union(gene("g3", 100, 200, 110, 150)).union(gene("g4", 140, 240, 149, 160)).union(gene("n", 1, 240, 0, 0))
+    assert {r.gene for r in genes.adjacent_overlaps(rows).collect()} == {"g3", "g4"}
+    assert {r.gene for r in genes.gene_filter(rows, drop_single_exon=False).collect()} == {"g1", "g2", "n"}

@@ -75,3 +75,9 @@ def test_sampling_is_repeatable(spark):
     one = [r["id"] for r in R.stable_sample(d, ["id"], 0.2, 1).collect()]
     assert one == [r["id"] for r in R.stable_sample(d, ["id"], 0.2, 1).collect()] and 120 < len(one) < 280
     assert sorted(r["id"] for r in R.shuffled(d, ["id"], 3).collect()) == list(range(1000))
+
+
+def test_semicolon_in_quotes(spark):
+    d = spark.createDataFrame([('note "x;y"; b "1"; open "2',), (None,), ("",)], "t string")
+    r = [x[0] for x in d.select(A.parse_attributes(F.col("t"), keep="last")).collect()]
+    assert r == [{"note": "x;y", "b": "1", "open": "2"}, None, {}]
