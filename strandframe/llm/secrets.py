@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame and ML operations only.
 
 A candidate is a run of at least ``SHORTEST`` key characters with a digit; a token may hold several.  Features: length, shares of digits and upper
-case, changes of character class, distinct characters, share covered by dictionary words (letter runs that also stand alone
-in the texts), a path around it, an assignment, and neighbouring words that name keys.
+case, changes of character class, distinct characters, share covered by dictionary words (letter runs of the tokens that hold
+no candidate), a path around it, an assignment, and neighbouring words that name keys.
 
 The tables hold no labelled findings.  Without a ``findings`` table the labels come from a rule on the context: a value
 assigned to a key word is a secret, one that is digits only or part of a path is not; the rest stays unlabelled.  The
@@ -23,6 +23,8 @@ SHORTEST, MAX_ROWS, TREES, DEPTH = 16, 20_000, 20, 5
 #: Letter runs up to which the dictionary look-up is broadcast; above it the join shuffles.
 BROADCAST_ROWS = 500_000
 VALUE = rf"[A-Za-z0-9+/_\-]{{{SHORTEST},}}"
+#: Whether a token holds a candidate: a whole run of key characters, long enough and with a digit.
+HOLDING = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{{{SHORTEST}}})[A-Za-z+/_\-]*[0-9]"
 KEY = r"(?i)(token|secret|passw|apikey|api_key|credential|auth|private|access)"
 FEATURES = ["length", "digits", "upper", "changes", "distinct", "covered", "path", "assigned", "key_near"]
 
@@ -48,7 +50,9 @@ def with_features(found: DataFrame, docs: DataFrame, text_col: str = "text") ->
     })
     asked = stored(found.select(F.explode("runs").alias("run")).distinct())
     few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^a-z]+")).alias("run"))
+    # Tokens with a candidate are left out, as every run of a value would stand in the dictionary by itself.
+    others = F.filter(F.split(F.col(text_col), r"\s+"), lambda t: ~t.rlike(HOLDING))
+    words = docs.select(F.explode(F.split(F.lower(F.concat_ws(" ", others)), r"[^a-z]+")).alias("run"))
     known = words.join(few, "run", "left_semi").distinct()
     covered = found.select("value", F.explode("runs").alias("run")).distinct().join(known, "run").groupBy("value").agg(F.sum(F.length("run")).alias("letters"))
     out = found.join(covered, "value", "left")
