@@ -6,7 +6,6 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandframe.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from strandframe.llm.queries import tokenizer_file
@@ -14,25 +13,19 @@ from strandframe.llm.tools import table
 from strandframe.session import stored
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is listed, null ids included."""
-    other = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(other, docs["doc_id"].eqNullSafe(other["_kept_id"]), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
-    return _keep(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    """Of equal texts, one row with the largest doc_id."""
+    return exact_dedup.distinct_texts(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest doc_id."""
-    return _keep(docs, simhash.near_duplicates(docs).where("doc_id <=> component_id"))
+    """Of each group of linked fingerprints, one row with the smallest doc_id."""
+    return simhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import tools
+from .textcols import rows_at
 
 #: Extra fingerprint bits: one false suspect in 2^EXTRA_BITS rows.
 EXTRA_BITS = 10
@@ -121,3 +123,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = suspects.select("id", "row", sha).join(groups, "text_sha256")
     kept = F.col("row") == F.col("keep_row")
     return unique.unionByName(members.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256"))
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ``kept`` rows of ``docs``, all columns: one for each text, also where ids repeat or are null."""
+    kept = exact_duplicates(docs, id_col, text_col).where("kept")
+    kept = stored(kept.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), (F.col("group_size") > 1).alias("repeated")))
+    return rows_at(docs, kept, id_col, text_col)

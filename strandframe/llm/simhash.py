@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..session import stored
+from .textcols import rows_at
 
 BITS = 64
 #: Differing bits that still link.  Step 4 holds for two.
@@ -179,9 +180,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and never name it; a component of null ids only has a null component_id.  Other columns are ignored.
     """
     rows = stored(docs.select(F.col(id_col).alias("id"), _fingerprints(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
-    fps = stored(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    found = connected_components(links(fps), "a", "b").select(F.col("node").alias("fp"), "component")
-    classes = fps.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classes = _classes(stored(rows.groupBy("fp").agg(F.min("id").alias("first"))))
     lowest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = classes.join(lowest, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(fps: DataFrame) -> DataFrame:
+    """``fps`` with the component of each fingerprint."""
+    found = connected_components(links(fps), "a", "b").select(F.col("node").alias("fp"), "component")
+    return fps.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component one row of ``docs``, all columns: that with the smallest id, of equal ids the smallest text hash.
+
+    A null id stays only in a component without any other.
+    """
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.sha2(body, 256).alias("sha"), _fingerprints(body).alias("fp")))
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "sha")
+    classes = _classes(stored(rows.groupBy("fp").agg(F.min(own).alias("first"))))
+    kept = classes.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.sha")
+    times = rows.groupBy("id", "sha").agg((F.count(F.lit(1)) > 1).alias("repeated")).withColumnsRenamed({"id": "_id", "sha": "_sha"})
+    kept = kept.join(times, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))).select("id", "sha", "repeated")
+    return rows_at(docs, stored(kept), id_col, text_col)

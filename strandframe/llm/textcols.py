@@ -35,3 +35,16 @@ def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with the columns of ``found`` for equal id and mark, null ids included; nulls where there are none."""
     other = found.withColumnsRenamed({"id": "_id", "mark": "_mark"})
     return rows.join(other, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").drop("_id", "_mark")
+
+
+def rows_at(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``kept`` (id, sha, repeated) names: one for each of its rows.
+
+    ``sha`` is the text's SHA-256, a null text counts as empty.  Rows with equal id and text are told apart by their other
+    columns only; where ``repeated`` is set, the smallest stays.
+    """
+    other = kept.withColumnsRenamed({"id": "_id", "sha": "_sha", "repeated": "_repeated"})
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("_sha"))
+    single = docs.join(other.where("not _repeated"), same, "left_semi")
+    shared = docs.join(other.where("_repeated"), same).groupBy("_id", "_sha").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_row"))
+    return single.unionByName(shared.select("_row.*"))
