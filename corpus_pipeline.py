@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, one row with the smallest doc_id."""
+    """Of each group of linked fingerprints (two bits; the README has the recall), one row with the smallest doc_id."""
     return simhash.representatives(docs)
 
 
