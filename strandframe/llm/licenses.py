@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, as the set of its words; a template is the set of words of a notice.  A block matches if it
-holds at least ``THRESHOLD`` of the template's words.
+A block is a line of a text, or a window of as many words as the notice has over the whole text, so that wrapped notices are
+found; both as the set of their words.  A template is the set of words of a notice.  A block matches if it holds at least
+``THRESHOLD`` of the template's words.
 
 1. Count the templates' words over all texts; this global order, rare words first, sorts each template.
 2. A block with the needed overlap ``need = ceil(THRESHOLD * |template|)`` holds one of the first ``|template| - need + 1``
@@ -15,6 +16,7 @@ Base phrases are found at their places in the whole text, across lines.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from math import ceil
 
@@ -46,8 +48,6 @@ TEMPLATES = [
 
 
 def template_words(text: str) -> list[str]:
-    import re
-
     return sorted(set(re.findall(WORD, "".join(c.lower() if c.isascii() else c for c in text))))
 
 
@@ -83,13 +83,13 @@ def _places(rows: DataFrame, phrases: dict[str, str]) -> DataFrame:
 def block_matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(id, mark, label, containment) of every (block, template) pair that meets the threshold."""
     spark = rows.sparkSession
-    sets = [(label, template_words(text)) for label, text in templates]
-    counts = _word_counts(rows, sorted({w for _, ws in sets for w in ws}))
+    sets = [(label, template_words(text), len(re.findall(WORD, text))) for label, text in templates]
+    counts = _word_counts(rows, sorted({w for _, ws, _ in sets for w in ws}))
     index = []
-    for label, ws in sets:
+    for label, ws, n_words in sets:
         order, need = sorted(ws, key=lambda w: (counts.get(w, 0), w)), max(1, ceil(threshold * len(ws) - 1e-9))
-        index += [(w, label, order, need, i) for i, w in enumerate(order[: len(order) - need + 1]) if len(order) - i >= need]
-    table = spark.createDataFrame(index, "w string, label string, template array<string>, need int, place int")
+        index += [(w, label, order, need, i, n_words) for i, w in enumerate(order[: len(order) - need + 1]) if len(order) - i >= need]
+    table = spark.createDataFrame(index, "w string, label string, template array<string>, need int, place int, words int")
     heads = sorted({w for w, *_ in index})
     lines = rows.select("id", "mark", F.posexplode(F.split("body", "\n")).alias("block", "line")).where(_holding(F.col("line"), heads))
     blocks = lines.select("id", "mark", "block", F.array_distinct(az_lower_all(words_of(F.col("line")))).alias("ws"))
@@ -97,7 +97,16 @@ def block_matches(rows: DataFrame, templates: list[tuple[str, str]], threshold:
     pairs = near.join(F.broadcast(table), "w").where(F.size("ws") >= F.col("need"))
     held = F.size(F.array_intersect("template", "ws"))
     found = pairs.select("id", "mark", "block", "label", held.alias("held"), "need", F.size("template").alias("size")).where("held >= need")
-    return found.select("id", "mark", "label", (F.col("held") / F.col("size")).alias("containment"))
+    found = found.select("id", "mark", "label", (F.col("held") / F.col("size")).alias("containment"))
+    # Across lines: the words around each prefix word, and in them the best window of the notice's length.
+    span = max((n for *_, n in index), default=1)
+    texts = rows.where(F.col("body").contains("\n") & _holding(F.col("body"), heads)).select("id", "mark", az_lower_all(words_of(F.col("body"))).alias("ws"))
+    at = F.filter(F.sequence(F.lit(0), F.size("ws")), lambda i: F.coalesce(F.get("ws", i).isin(heads), F.lit(False)))
+    around = F.transform(at, lambda i: F.struct(F.get("ws", i).alias("w"), F.slice("ws", F.greatest(i - span + 2, F.lit(1)), F.lit(2 * span - 1)).alias("near")))
+    met = texts.select("id", "mark", F.explode(around).alias("p")).select("id", "mark", "p.w", "p.near").join(F.broadcast(table), "w")
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("near")), lambda i: F.size(F.array_intersect("template", F.slice("near", i, F.col("words"))))))
+    wrapped = met.withColumn("held", best).where("held >= need")
+    return found.unionByName(wrapped.select("id", "mark", "label", (F.col("held") / F.size("template")).alias("containment")))
 
 
 def license_scan(
