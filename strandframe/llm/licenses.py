@@ -80,14 +80,18 @@ def _places(rows: DataFrame, phrases: dict[str, str]) -> DataFrame:
     return words.select("id", "mark", F.explode(F.concat(*found)).alias("p")).select("id", "mark", "p.at", "p.label")
 
 
-def block_matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(id, mark, label, containment) of every (block, template) pair that meets the threshold."""
+def block_matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float, apart: bool = True) -> DataFrame:
+    """(id, mark, label, containment) of every (block, template) pair that meets the threshold; with ``apart`` a block must
+    also hold more of a template than any template of another label has in common with it."""
     spark = rows.sparkSession
     sets = [(label, template_words(text), len(re.findall(WORD, text))) for label, text in templates]
     counts = _word_counts(rows, sorted({w for _, ws, _ in sets for w in ws}))
     index = []
     for label, ws, n_words in sets:
         order, need = sorted(ws, key=lambda w: (counts.get(w, 0), w)), max(1, ceil(threshold * len(ws) - 1e-9))
+        if apart:
+            alike = max((len(set(ws) & set(other)) for name, other, _ in sets if name != label), default=0)
+            need = max(need, min(len(ws), alike + 1))
         index += [(w, label, order, need, i, n_words) for i, w in enumerate(order[: len(order) - need + 1]) if len(order) - i >= need]
     table = spark.createDataFrame(index, "w string, label string, template array<string>, need int, place int, words int")
     heads = sorted({w for w, *_ in index})
@@ -111,18 +115,19 @@ def block_matches(rows: DataFrame, templates: list[tuple[str, str]], threshold:
 
 def license_scan(
     docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", apart: bool = True,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``n_base`` counts all places of base phrases, ``first_word`` and ``last_word`` are their smallest and largest start
     (words from 0; null without one).  ``labels`` holds the base labels and those of matching templates, distinct, sorted
     and joined by commas.  ``score`` is 1 with a base phrase, else the largest containment of a matching template, else
-    0.  A null or empty text has no words and no labels.  Repeated rows are answered each; other columns are ignored.
+    0.  ``apart`` keeps templates of different labels apart that differ in few words (GPL 2 and 3).  A null or empty text has
+    no words and no labels.  Repeated rows are answered each; other columns are ignored.
     """
     rows = keyed(docs, id_col, text_col)
     base = _places(rows, phrases).select("id", "mark", "label", F.lit(1.0).alias("containment"), "at")
-    both = base.unionByName(block_matches(rows, templates, threshold), allowMissingColumns=True)
+    both = base.unionByName(block_matches(rows, templates, threshold, apart), allowMissingColumns=True)
     # A text that repeats in several rows with one id counts its places once.
     once = both.groupBy("id", "mark", "label", "at").agg(F.max("containment").alias("containment"))
     placed = F.col("at").isNotNull()

@@ -1,4 +1,4 @@
-"""License notices that are wrapped, and the given tables against SQL."""
+"""License notices that are wrapped, and versions that differ in one word."""
 
 import textwrap
 
@@ -15,3 +15,12 @@ def test_wrapped_notices(spark):
     got = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(want[i] in got[i] for i in want), got
     assert got[100] == got[101] == {""}
+
+
+def test_versions_are_told_apart(spark):
+    notice = "This work is licensed under the GNU General Public License, version "
+    rows = [(2, notice + "2."), (3, notice + "3."), (4, notice.replace("Public ", "Public\n") + "3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(docs).collect()}
+    assert got == {2: "gpl,gpl-2.0", 3: "gpl,gpl-3.0", 4: "gpl,gpl-3.0"}
+    assert {r.labels for r in licenses.license_scan(docs, apart=False).collect()} == {"gpl,gpl-2.0,gpl-3.0"}
