@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, secrets, simhash, substring_dedup, token_counts, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, licenses, periodic_runs, secrets, sharding, simhash, substring_dedup, token_counts, toxicity, warc, whitening
 from .tools import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,37 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+#: Shards of the registered query, of equal weight, and the one that joins them.
+SHARDS, GROWN = dict.fromkeys(range(24), 1.0), {24: 1.0}
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(table(spark, sf_dir, "documents"), SHARDS, GROWN)
+
+
+# With equal weights the largest draw wins.  SQL has no CRC-32: its table is made bit by bit.
+ORACLES["op12_sharding"] = f"""
+WITH octets AS (
+  SELECT [list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) FOR i IN range(256)] AS step),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
+sums AS (
+  SELECT doc_id, len(b)::BIGINT + 8 AS size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM bytes, octets),
+draws AS (SELECT doc_id, s, ('0x' || substr(md5(doc_id || ':' || s), 1, 12))::BIGINT AS drawn FROM (SELECT DISTINCT doc_id FROM documents), range({len(SHARDS) + len(GROWN)}) t(s)),
+homes AS (SELECT doc_id, arg_max(s, drawn) FILTER (s < {len(SHARDS)}) AS shard, arg_max(s, drawn) AS grown FROM draws GROUP BY 1)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc, size) - 1 AS slot, grown::INT AS grown_shard
+FROM sums JOIN homes USING (doc_id)
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), rewritten=True)
