@@ -224,6 +224,11 @@ def phases(chain: Column, strand: Column, start_phase: Column | int = 0) -> Colu
     return F.when(strand == "-", F.reverse(run(F.reverse(chain)))).otherwise(run(chain))
 
 
+def phases_from(chain: Column, strand: Column, phase: Column) -> Column:
+    """:func:`phases` where the first interval in transcription order has the phase ``phase`` (bases before its first whole codon)."""
+    return phases(chain, strand, F.pmod(3 - phase, F.lit(3)))
+
+
 def phase_at(chain: Column, strand: Column, pos: Column, start_phase: Column | int = 0) -> Column:
     """Phase of one coordinate of the chain; NULL if the chain does not cover it."""
     first = F.lit(start_phase) if isinstance(start_phase, int) else start_phase

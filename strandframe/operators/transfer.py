@@ -11,6 +11,10 @@ from .pairs import AXIS, chain_classes, class_members
 from .ranges import overlap_join
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose value is computed once a row, also where filters and later columns use it (a generator of one row keeps it apart)."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
 
 def _bases_before(chain: Column, strand: Column, pos: Column) -> Column:
     """Chain bases before ``pos`` in transcription order."""
@@ -112,10 +116,14 @@ def transfer_orfs(tx: DataFrame, check_length: bool = True) -> DataFrame:
     The longest perfect fit (score 0), else the longest imperfect one, else
     none; of equal lengths the first template in order.
     """
-    best = fitted_chains(tx, check_length).groupBy("class_tid").agg(
+    return best_fits(fitted_chains(tx, check_length), class_members(tx.where(~F.col("is_template"))))
+
+
+def best_fits(fitted: DataFrame, members: DataFrame) -> DataFrame:
+    """The choice of :func:`transfer_orfs` among fitted chains of classes, for all members of the classes."""
+    best = fitted.groupBy("class_tid").agg(
         F.min(F.struct((F.col("score") != 0).alias("bad"), (-F.col("n")).alias("neg"), "first", "fitted", "score")).alias("b")
     )
-    members = class_members(tx.where(~F.col("is_template")))
     kind = F.when(F.col("b").isNull(), "none").when(F.col("b.bad"), "imperfect").otherwise("perfect")
     return members.join(best, "class_tid", "left").select(
         "tid", kind.alias("kind"), F.col("b.first.tid").alias("template"), C.as_text(F.col("b.fitted")).alias("chain"),
@@ -124,11 +132,16 @@ def transfer_orfs(tx: DataFrame, check_length: bool = True) -> DataFrame:
 
 
 def refit_with_sequence(df: DataFrame, own: str, cut: str, strand: str, genome: str, origin: str, template_start: str) -> DataFrame:
+    """:func:`refit_rna` where ``genome`` is the forward sequence that covers ``own``, its first base at ``origin``."""
+    rna = Q.spliced(F.col(genome), F.col(own), F.col(strand), F.col(origin))
+    return refit_rna(df.withColumn("_own_rna", rna), own, cut, strand, "_own_rna", template_start).drop("_own_rna")
+
+
+def refit_rna(df: DataFrame, own: str, cut: str, strand: str, rna: str, template_start: str) -> DataFrame:
     """Add ``refit``: the coding chain fitted to the sequence, within the transcript.
 
-    ``genome`` is the forward sequence that covers ``own``, its first base at
-    ``origin``; ``template_start`` is the coordinate of the template's first
-    coding base.  In transcription order: the frame of ``cut`` is read to its
+    ``rna`` is the sequence of ``own`` in transcription order; ``template_start``
+    is the coordinate of the template's first coding base.  In transcription order: the frame of ``cut`` is read to its
     first stop, begins at its first M, is extended to the next stop of the
     transcript (the stop codon included) if there is one, and then grown
     upstream to the furthest M before any stop, but not past the template's
@@ -136,9 +149,8 @@ def refit_with_sequence(df: DataFrame, own: str, cut: str, strand: str, genome:
     """
     o, c, st, t0 = F.col(own), F.col(cut), F.col(strand), F.col(template_start)
     minus, rest = st == "-", F.lit(2**31 - 1)
-    piece = lambda a, n: F.substring("_rna", (a + 1).cast("int"), n.cast("int"))
+    piece = lambda a, n: F.substring(rna, (a + 1).cast("int"), n.cast("int"))
     steps = {
-        "_rna": Q.spliced(F.col(genome), o, st, F.col(origin)),
         "_at": _bases_before(o, st, F.when(minus, C.chain_end(c)).otherwise(C.chain_start(c))),
         "_t": F.when(F.exists(o, lambda x: (x["s"] <= t0) & (x["e"] >= t0)), _bases_before(o, st, t0)),
         "_frame": Q.translate(piece(F.col("_at"), C.chain_length(c))),
@@ -162,5 +174,5 @@ def refit_with_sequence(df: DataFrame, own: str, cut: str, strand: str, genome:
     }
     out = df
     for name, value in steps.items():
-        out = out.withColumn(name, value)
-    return out.withColumn("refit", F.when(F.col("_kept") > 0, C.clip(o, F.least("_a", "_b"), F.greatest("_a", "_b")))).drop(*steps)
+        out = once(out, name, value)
+    return once(out, "refit", F.when(F.col("_kept") > 0, C.clip(o, F.least("_a", "_b"), F.greatest("_a", "_b")))).drop(*steps)

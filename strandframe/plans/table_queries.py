@@ -89,13 +89,11 @@ def root_of_chain(spark, sf):
 
 # ---------------------------------------------------------------- lookups
 
-@query("barcode_lookup", """SELECT o_orderkey, coalesce(c_nationkey || 'x' || c_mktsegment, 'NaN') AS coord
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey%2=0) ON c_custkey=o_custkey""")
+@query("barcode_lookup", """SELECT p_partkey, coalesce(c_nationkey || 'x' || c_mktsegment, 'NaN') AS coord FROM part LEFT JOIN customer ON c_custkey=p_partkey""")
 def barcode_lookup(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
-        F.col("c_custkey").alias("o_custkey"), F.concat_ws("x", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("coord")
-    )
-    return lookup.lookup(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey", "coord").select("o_orderkey", "coord")
+    # parts stand for barcodes: the larger ones have no place
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("p_partkey"), F.concat_ws("x", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("coord"))
+    return lookup.lookup(table(spark, sf, "part").select("p_partkey"), c, "p_partkey", "coord").select("p_partkey", "coord")
 
 
 @query("name_resolution", """WITH i AS (SELECT c_custkey, CASE c_custkey%3 WHEN 0 THEN n_name WHEN 1 THEN r_name ELSE c_mktsegment END AS id
@@ -178,11 +176,6 @@ def subset_by_region(spark, sf):
     return out.select(A.attribute(F.col("attributes"), "transcript_id").cast("bigint").alias("id"))
 
 
-@query("props_parse", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def props_parse(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 @query("selected_pages", "SELECT page_id, CAST(contains(lower(html), 'selen') OR contains(lower(html), 'exception') OR contains(lower(html), 'the') AS INT) AS hit FROM pages")
 def selected_pages(spark, sf):
     t = F.col("html")
@@ -194,11 +187,13 @@ def selected_pages(spark, sf):
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _BASES = "ACGTACGGTACTAGCATGCTATGACT"
-_SEQ = f"translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}')"
+_BOTH = _LETTERS + _LETTERS.upper(), _BASES + _BASES
+_SEQ = f"regexp_replace(translate(text, '{_BOTH[0]}', '{_BOTH[1]}'), '[^ACGT]', 'T', 'g')"
 
 
 def _sequences(spark, sf):
-    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _BASES)
+    """Every character of a document is a base: letters by the table, all others T."""
+    seq = F.regexp_replace(F.translate("text", *_BOTH), "[^ACGT]", "T")
     return table(spark, sf, "documents").select("doc_id", "lang", seq.alias("seq"))
 
 

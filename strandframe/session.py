@@ -41,6 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def pin_layout(spark: SparkSession) -> None:
+    """Let file scans be cut into the same blocks each time, however many executors there are meanwhile."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage, so lost executors cost nothing."""
     ensure_checkpoint_dir(df.sparkSession)

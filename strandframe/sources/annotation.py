@@ -8,29 +8,46 @@ from pyspark.sql import functions as F
 
 from ..functions import attributes as A
 from ..functions import chains as C
+from ..session import pin_layout, stored
 
 FEATURE_FIELDS = ("seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes")
 
 
+#: Tables of file blocks up to so many rows (some MB) are sent to all tasks; larger ones are joined by a shuffle.
+FEW_BLOCKS = 50_000
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text lines (value) with their number in reading order (line_no, from 0); gz is transparent."""
+    """Text lines: value, file and line_no, the place in the file from 0; gz is transparent."""
     return number_lines(spark.read.text(path))
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Number rows in reading order without moving them.
+def number_lines(rows: DataFrame) -> DataFrame:
+    """Add ``file`` and ``line_no`` to the rows of a file source; rows are not moved unless there are very many blocks.
 
-    Rows are counted per input partition; only one row per partition meets in
-    the window that turns the counts into offsets.
+    A block of a file is read by one task from front to back, whatever else that task reads.  So a row's number is its place
+    in its block plus the rows of the file's earlier blocks, and only one row for each block is counted and summed up.  The
+    blocks are pinned; should a scan be cut in another way all the same, the query stops with an error.
     """
-    tagged = lines.withColumn("_id", F.monotonically_increasing_id())
-    part, within = F.shiftright("_id", 33), F.col("_id") % F.lit(1 << 33)
-    tagged = tagged.withColumn("_part", part)
-    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    # one row per input partition: small by construction, and the lines stay where they are
-    return tagged.join(F.broadcast(offsets), "_part").withColumn("line_no", F.col("_before") + within).drop("_part", "_id", "_before")
+    spark = rows.sparkSession
+    pin_layout(spark)
+    here = rows.select(
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+    )
+    sizes = here.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first"))
+    sizes = stored(sizes)
+    before = F.sum("n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    shifts = sizes.select("file", "_block", "_first", "n", F.coalesce(before, F.lit(0)).alias("_before"))
+    if sizes.count() <= FEW_BLOCKS:
+        shifts = F.broadcast(shifts)
+    place = F.col("_id") - F.col("_first")
+    number = F.when((place >= 0) & (place < F.col("n")), F.col("_before") + place).otherwise(F.raise_error(F.lit("the scan was cut in another way")).cast("bigint"))
+    return here.join(shifts, ["file", "_block"], "left").select(*rows.columns, "file", number.alias("line_no"))
+
+
+def line_order(df: DataFrame) -> Column:
+    """What orders lines: their number, and before it the file where there is one."""
+    return F.struct("file", "line_no") if "file" in df.columns else F.col("line_no")
 
 
 def features(lines: DataFrame) -> DataFrame:
@@ -86,24 +103,34 @@ def with_ids(feats: DataFrame, gff: bool = False) -> DataFrame:
 
 
 def assemble(feats: DataFrame, *, merge_gap: int | None = None) -> DataFrame:
-    """One row per transcript: tid, gene, seqid, strand, chain, cds, start, end, source, attributes.
+    """One row per transcript: tid, gene, seqid, strand, source, attributes, chain, cds, phase, off_phase, start, end.
 
     ``feats`` comes from :func:`with_ids`.  The span is that of the exons;
     transcripts without exons keep an empty chain and their own span.
     ``merge_gap=5`` joins exons at most five bases apart.
+
+    ``phase`` is what the first coding part, in transcription order, declares (0 if nothing).  The frame is walked from there;
+    ``off_phase`` holds the coding parts that declare another phase than the walk gives them.
     """
     part = lambda t: F.array_sort(F.array_compact(F.collect_set(F.when(F.col("type") == t, C.interval(F.col("start"), F.col("end"))))))
+    declared = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("phase").try_cast("int").alias("phase"))
     is_tx = F.col("type").isin("transcript", "mRNA")
     one = lambda c: F.coalesce(F.max(F.when(is_tx, F.col(c))), F.max(c)).alias(c)
     tx = feats.where("tid IS NOT NULL").groupBy("tid").agg(
         one("gene"), one("seqid"), one("strand"), one("source"), one("attributes"),
-        part("exon").alias("chain"), part("CDS").alias("cds"), F.min("start").alias("_s"), F.max("end").alias("_e"),
+        part("exon").alias("chain"), F.array_sort(F.array_compact(F.collect_set(F.when(F.col("type") == "CDS", declared)))).alias("_coded"),
+        F.min("start").alias("_s"), F.max("end").alias("_e"),
     )
+    tx = tx.withColumn("cds", F.array_distinct(F.transform("_coded", lambda x: C.interval(x["s"], x["e"]))))
+    lead = F.when(F.col("strand") == "-", F.try_element_at("_coded", F.lit(-1))).otherwise(F.try_element_at("_coded", F.lit(1)))
+    tx = tx.withColumn("phase", F.coalesce(lead["phase"], F.lit(0)))
+    walked = C.let(C.phases_from(F.col("cds"), F.col("strand"), F.col("phase")), lambda w: F.filter("_coded", lambda x: x["phase"].isNotNull() & ~F.array_contains(w, x)))
+    tx = tx.withColumn("off_phase", walked)
     if merge_gap is not None:
         tx = tx.withColumn("chain", C.merge(F.col("chain"), merge_gap))
     has = F.size("chain") > 0
     return tx.select(
-        "tid", "gene", "seqid", "strand", "source", "attributes", "chain", "cds",
+        "tid", "gene", "seqid", "strand", "source", "attributes", "chain", "cds", "phase", "off_phase",
         F.when(has, C.chain_start(F.col("chain"))).otherwise(F.col("_s")).alias("start"),
         F.when(has, C.chain_end(F.col("chain"))).otherwise(F.col("_e")).alias("end"),
     )
@@ -123,11 +150,11 @@ def attribute_values(feats: DataFrame, key: str, feature: str = "transcript", gf
 def attribute_table(feats: DataFrame, names: list[str], cols: list[str] = (), feature: str = "transcript") -> DataFrame:
     """One row per transcript with the chosen attributes; the last line wins, missing ones are ``-``.
 
-    ``feats`` needs line_no, see :func:`read_lines`.
+    ``feats`` needs line_no, see :func:`read_lines`; of several files the last in the order of paths wins.
     """
     rows = with_ids(feats.where(F.col("type") == feature))
     picked = F.struct(*[A.attribute_or_dash(F.col("attrs"), n).alias(n) for n in names], *[F.col(c) for c in cols])
-    return rows.groupBy("tid").agg(F.max_by(picked, "line_no").alias("p")).select("tid", "p.*")
+    return rows.groupBy("tid").agg(F.max_by(picked, line_order(rows)).alias("p")).select("tid", "p.*")
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,9 +183,9 @@ def gene_descriptions(feats: DataFrame) -> DataFrame:
     """(name, description) of gene rows with a description; the last line wins."""
     bag = A.parse_attributes(F.col("attributes"), True)
     rows = feats.where(F.col("type") == "gene").select(
-        F.try_element_at(bag, F.lit("Name")).alias("name"), F.try_element_at(bag, F.lit("description")).alias("description"), "line_no"
+        F.try_element_at(bag, F.lit("Name")).alias("name"), F.try_element_at(bag, F.lit("description")).alias("description"), line_order(feats).alias("_at")
     ).where("description <> '-'")
-    return rows.groupBy("name").agg(F.max_by("description", "line_no").alias("description"))
+    return rows.groupBy("name").agg(F.max_by("description", "_at").alias("description"))
 
 
 def subset(feats: DataFrame, *, genes: DataFrame | None = None, tids: DataFrame | None = None) -> DataFrame:
@@ -202,20 +229,32 @@ def to_lines(feats: DataFrame) -> DataFrame:
     return feats.select(F.concat_ws("\t", *[dash(c) for c in FEATURE_FIELDS]).alias("value"))
 
 
+def coding_transcripts(tx: DataFrame) -> DataFrame:
+    """Add ``coding``: the exons within the coding range, which begins with the first whole codon, with phases (NULL if nothing is coding).
+
+    The range is that of ``cds``; its first part's declared ``phase`` is skipped.
+    """
+    c = F.col("cds")
+    chain = C.coding_chain(F.col("chain"), F.col("strand"), C.chain_start(c), C.chain_end(c), F.col("phase"))
+    return tx.withColumn("coding", F.when(F.size(c) > 0, F.filter(chain, lambda x: x["s"] <= x["e"])))
+
+
 def transcript_lines(tx: DataFrame, source: str = "strandframe") -> DataFrame:
-    """(tid, rank, value): transcript line, exon lines, CDS lines with phase; ``attrs`` is the attribute map.
+    """(seqid, start, tid, rank, value): transcript line, exon lines, CDS lines whose frame begins with ``phase`` (0 without that column).
 
-    Write with ``.orderBy("seqid", "start", "tid", "rank").select("value").write.text(path)``.
+    ``attrs`` is the attribute map; without it the text in ``attributes`` is parsed.
     """
-    src = F.col("source") if "source" in tx.columns else F.lit(source)
+    src = F.coalesce("source", F.lit(source)) if "source" in tx.columns else F.lit(source)
+    attrs = F.col("attrs") if "attrs" in tx.columns else A.parse_attributes(F.col("attributes"))
     feature = "struct<type:string,s:bigint,e:bigint,phase:string>"
     row = lambda t, x, ph: F.struct(F.lit(t).alias("type"), x["s"].alias("s"), x["e"].alias("e"), ph.alias("phase")).cast(feature)
     whole = F.array(row("transcript", C.interval(F.col("start"), F.col("end")), F.lit(".")))
     exon = F.transform("chain", lambda x: row("exon", x, F.lit(".")))
     parts = [whole, exon]
     if "cds" in tx.columns:
-        parts.append(F.transform(C.phases(F.col("cds"), F.col("strand")), lambda x: row("CDS", x, x["phase"].cast("string"))))
-    out = tx.select("seqid", "strand", "start", "tid", src.alias("source"), "attrs", F.posexplode(F.concat(*parts)).alias("rank", "f"))
+        first = F.col("phase") if "phase" in tx.columns else F.lit(0)
+        parts.append(F.transform(C.phases_from(F.col("cds"), F.col("strand"), first), lambda x: row("CDS", x, x["phase"].cast("string"))))
+    out = tx.select("seqid", "strand", "start", "tid", src.alias("source"), attrs.alias("attrs"), F.posexplode(F.concat(*parts)).alias("rank", "f"))
     own = F.map_filter("attrs", lambda k, _: k.isin("transcript_id", "gene_id"))
     text = A.attribute_text(F.when(F.col("f.type") == "transcript", F.col("attrs")).otherwise(own))
     line = F.concat_ws(
@@ -224,6 +263,17 @@ def transcript_lines(tx: DataFrame, source: str = "strandframe") -> DataFrame:
     return out.select("seqid", "start", "tid", "rank", line.alias("value"))
 
 
+def write_transcripts(tx: DataFrame, path: str, source: str = "strandframe") -> None:
+    """Write annotation text in the order sequence, start, transcript, rank over the part files.
+
+    Transcripts are dealt out by ranges and become lines in place, so all lines of one are in one file, one behind another,
+    and only one row for each transcript is shuffled.
+    """
+    order = ["seqid", "start", "tid"]
+    dealt = tx.repartitionByRange(*order).sortWithinPartitions(*order)
+    transcript_lines(dealt, source).select("value").write.mode("overwrite").text(path)
+
+
 def convert_attributes(feats: DataFrame) -> DataFrame:
     """GTF features with GFF3 attribute text."""
     bag = A.parse_attributes(F.col("attributes"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandframe.functions import attributes as A
+from strandframe.operators import genome
 from strandframe.sources import annotation as N
 from strandframe.sources import records as R
 
@@ -53,7 +54,7 @@ def test_records(spark, tmp_path):
     fa = tmp_path / "a.fa"
     fa.write_text(">s1 first\nacgt\nAC\n>s2\nGG\n")
     assert {r["name"]: r["seq"] for r in R.read_fasta(spark, str(fa)).collect()} == {"s1": "ACGTAC", "s2": "GG"}
-    chunks = R.sequence_chunks(R.read_fasta(spark, str(fa)), 4).where("name = 's1'").orderBy("chunk_no").collect()
+    chunks = genome.tiles(R.read_fasta(spark, str(fa)), 4).where("name = 's1'").orderBy("chunk_no").collect()
     assert [r["seq"] for r in chunks] == ["ACGT", "AC"]
     fq = tmp_path / "a.fq"
     fq.write_text("@r1 x\nAC\n+\n@@\n@r2\nGT\n+\nII\n@r1\nTT\n+\nJJ\n")
@@ -81,3 +82,60 @@ def test_semicolon_in_quotes(spark):
     d = spark.createDataFrame([('note "x;y"; b "1"; open "2',), (None,), ("",)], "t string")
     r = [x[0] for x in d.select(A.parse_attributes(F.col("t"), keep="last")).collect()]
     assert r == [{"note": "x;y", "b": "1", "open": "2"}, None, {}]
+
+
+def test_lines_are_numbered_in_each_file(spark, tmp_path):
+    made = {f"f{k}.txt": [f"{k}:{i}" + "x" * (i * 7 % 23) for i in range(n)] for k, n in enumerate((1601, 3, 0, 900))}
+    for name, lines in made.items():
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100b")
+    try:
+        rows = N.read_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 20
+        for few in (N.FEW_BLOCKS, 0):
+            N.FEW_BLOCKS, kept = few, N.FEW_BLOCKS
+            got = sorted((r["file"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in N.read_lines(spark, str(tmp_path)).collect())
+            N.FEW_BLOCKS = kept
+            assert got == sorted((name, i, x) for name, lines in made.items() for i, x in enumerate(lines))
+        (tmp_path / "reads").mkdir()
+        reads = {f"{p}{i}": ("ACGT"[i % 4] * (i % 50), "@+I~"[i % 4] * (i % 50)) for p in "ab" for i in range(300)}
+        for p in "ab":
+            (tmp_path / "reads" / f"{p}.fq").write_text("".join(f"@{p}{i} z\n{reads[f'{p}{i}'][0]}\n+\n{reads[f'{p}{i}'][1]}\n" for i in range(300)))
+        assert {r["name"]: (r["seq"], r["quality"]) for r in R.read_fastq(spark, str(tmp_path / "reads")).collect()} == reads
+        long = "ACGTN" * 1000
+        (tmp_path / "s.fa").write_text(">s1 one\n" + "\n".join(long[i : i + 61] for i in range(0, 5000, 61)) + "\n\n>s2\n>s3\nacgt\n")
+        tiles = sorted((r["name"], r["chunk_no"], r["seq"]) for r in genome.tiles_of_lines(N.read_lines(spark, str(tmp_path / "s.fa")), 64).collect())
+        assert tiles == [("s1", i, long[64 * i : 64 * i + 64]) for i in range(79)] + [("s3", 0, "ACGT")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_phases_in_and_out(spark, tmp_path):
+    line = lambda t, kind, s, e, st, ph: f'c\tx\t{kind}\t{s}\t{e}\t.\t{st}\t{ph}\tgene_id "g"; transcript_id "{t}";'
+    text = []
+    for p in (0, 1, 2):
+        for st in "+-":
+            t = f"t{p}{'f' if st == '+' else 'r'}"
+            parts = [(10, 14), (20, 26), (30, 31)]
+            text += [line(t, "transcript", 5, 40, st, "."), *[line(t, "exon", s, e, st, ".") for s, e in ((5, 14), (20, 26), (30, 40))]]
+            before = 0
+            for s, e in parts if st == "+" else parts[::-1]:
+                text.append(line(t, "CDS", s, e, st, (p - before) % 3))
+                before += e - s + 1
+    text.append(line("bad", "CDS", 1, 3, "+", 2))
+    text.append(line("bad", "CDS", 7, 9, "+", 1))
+    lines = spark.createDataFrame([(x,) for x in text], "value string")
+    tx = N.assemble(N.with_ids(N.features(lines)))
+    rows = {r["tid"]: r for r in N.coding_transcripts(tx).collect()}
+    assert rows["bad"]["phase"] == 2 and [tuple(x) for x in rows["bad"]["off_phase"]] == [(7, 9, 1)] and rows["t1f"]["off_phase"] == []
+    assert [tuple(x) for x in rows["t1f"]["coding"]] == [(11, 14, 0), (20, 26, 2), (30, 31, 1)]
+    assert [tuple(x) for x in rows["t1r"]["coding"]] == [(10, 14, 1), (20, 26, 2), (30, 30, 0)]
+    N.write_transcripts(tx.where("tid <> 'bad'"), str(tmp_path / "out"))
+    back = [r["value"] for p in sorted((tmp_path / "out").glob("part-*")) for r in spark.read.text(str(p)).collect()]
+    swap = lambda x: x.replace('gene_id "g"; transcript_id', "transcript_id").replace('";', '"; gene_id "g";') if x else x
+    assert sorted(back) == sorted(swap(x) for x in text[:-2])
+    owners = [x.split('transcript_id "')[1][:3] for x in back]
+    assert owners == sorted(owners) and [x.split("\t")[2] for x in back[:7]] == ["transcript"] + ["exon"] * 3 + ["CDS"] * 3
