@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import attributes as A
+from ..session import stored
+from .lookup import resolve_roots
 from .scans import running
 
 
@@ -69,3 +72,48 @@ def tracking_levels(rows: DataFrame, levels: list[str]) -> DataFrame:
     return long.groupBy("tid", F.col("x.level").alias("level"), F.col("x.name").alias("name"), F.col("x.path").alias("path")).agg(
         F.avg("tpm").alias("tpm_mean"), F.avg("cov").alias("cov_mean"), F.count(F.lit(1)).alias("num_samples")
     )
+
+
+def combined_levels(trackings: DataFrame) -> DataFrame:
+    """(tid, path, name, tpm_mean, cov_mean, num_samples): every merged transcript at every node of a hierarchy of merges.
+
+    ``trackings`` holds the rows of all tracking files at once: path (array of names from the top of the hierarchy to the file's
+    own), tid, q_tid, fpkm, tpm, cov.  A row without expression (fpkm, tpm or cov of 0) says that q_tid was merged into tid; the
+    others are samples.  A sample counts for the transcript at the end of its tid's merges and for all nodes on its path.  A q_tid
+    that was merged twice is an error.
+    """
+    final = (F.col("cov") > 0) & (F.col("fpkm") > 0) & (F.col("tpm") > 0)
+    rows = stored(trackings.select("path", "tid", "q_tid", "tpm", "cov", F.coalesce(final, F.lit(False)).alias("final")))
+    links = rows.where("NOT final AND q_tid IS NOT NULL").select("q_tid", "tid")
+    twice = links.groupBy("q_tid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
+    if twice:
+        raise ValueError(f"merged twice: {twice[0].q_tid}")
+    roots = resolve_roots(links, "q_tid", "tid")
+    # samples of one merged transcript and file meet before the join, so a transcript with very many of them is one row
+    part = rows.where("final").groupBy("path", "tid").agg(F.sum("tpm").alias("tpm"), F.sum("cov").alias("cov"), F.count(F.lit(1)).alias("n"))
+    placed = part.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("tid", F.coalesce("root", "tid"))
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i)))
+    nodes = placed.select("tid", "tpm", "cov", "n", above.alias("path")).groupBy("tid", "path").agg(F.sum("tpm").alias("tpm"), F.sum("cov").alias("cov"), F.sum("n").alias("n"))
+    return nodes.select(
+        "tid", "path", F.element_at("path", -1).alias("name"), (F.col("tpm") / F.col("n")).alias("tpm_mean"), (F.col("cov") / F.col("n")).alias("cov_mean"),
+        F.col("n").alias("num_samples"),
+    )
+
+
+def with_tracking(feats: DataFrame, trackings: DataFrame) -> DataFrame:
+    """Features whose transcript lines carry ``NAME_tpm_mean``, ``NAME_cov_mean`` and ``NAME_num_samples`` for every node NAME of the hierarchy.
+
+    The nodes of a transcript are as many as the hierarchy has files, however many samples they hold.  Other lines, and
+    transcripts without samples, stay as they are; a name that stands at several places of the hierarchy keeps the values of
+    its first place in the order of paths.
+    """
+    levels = combined_levels(trackings)
+    entries = F.array(*[F.struct(F.concat("name", F.lit(f"_{c}")).alias("key"), F.col(c).cast("string").alias("value")) for c in ("tpm_mean", "cov_mean", "num_samples")])
+    first = levels.groupBy("tid", "name").agg(F.min_by(F.struct("tpm_mean", "cov_mean", "num_samples"), "path").alias("v")).select("tid", "name", "v.*")
+    bags = first.groupBy("tid").agg(F.map_from_entries(F.flatten(F.collect_list(entries))).alias("_more"))
+    rows = feats.withColumn("_attrs", A.parse_attributes(F.col("attributes")))
+    own = F.when(F.col("type") == "transcript", F.try_element_at("_attrs", F.lit("transcript_id")))
+    rows = rows.withColumn("_tid", own).join(bags.withColumnRenamed("tid", "_tid"), "_tid", "left")
+    kept = F.map_filter("_attrs", lambda k, _: ~F.map_contains_key("_more", k))
+    text = F.when(F.col("_more").isNull(), F.col("attributes")).otherwise(A.attribute_text(F.map_concat(kept, "_more")))
+    return rows.withColumn("attributes", text).select(feats.columns)
