@@ -173,8 +173,10 @@ class WarcReader(DataSourceReader):
                 at, size = 0, file.size()
                 while at < size:
                     one = (_Member if p.file.endswith(".gz") else _Plain)(file, at, size)
-                    yield one
-                    at = one.over()
+                    while one is not None:
+                        yield one
+                        last, one = one, one.rest()
+                    at = last.over()
 
     def read(self, partition: Range | None):
         if partition is None:  # an empty folder
@@ -231,12 +233,15 @@ class _Plain:
             return block.partition(b"\r\n\r\n")[2]
         return block
 
+    def rest(self) -> None:
+        """The next record of the same member: only compressed ones hold several."""
+
     def over(self) -> int:
         return self.start + self.body + self.length + 4
 
 
 class _Member(_Plain):
-    """A record in a gzip member of its own."""
+    """A record in a gzip member: mostly one of its own, but an archive may also be one member as a whole."""
 
     def __init__(self, file, start: int, end: int):
         super().__init__(file, start, end)
@@ -255,6 +260,17 @@ class _Member(_Plain):
         self.at += len(got)
         return got
 
+    def rest(self) -> "_Member | None":
+        skip = self.body + self.length + 4
+        while skip or not self.data:
+            if not self.data and not self.first(1 << 20 if skip else 1):
+                return None
+            cut = min(skip, len(self.data))
+            self.data, skip = self.data[cut:], skip - cut
+        out = _Member(self.file, self.start, self.end)
+        out.unpack, out.data, out.at = self.unpack, self.data, self.at
+        return out
+
     def over(self) -> int:
         while not self.unpack.eof:
             self.data = b""

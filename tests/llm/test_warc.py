@@ -53,3 +53,19 @@ def test_foreign_archives(spark, tmp_path):
     assert back.count() == 5
     assert [bytes(r.payload) for r in back.where("record_type = 'response'").collect()] == [b"\xff\x00zz"] * 3
     assert [bytes(r.payload) for r in back.where("record_type = 'warcinfo'").collect()] == [b"hello"] * 2
+
+
+def test_members_with_several_records(spark, tmp_path):
+    """Archives compressed as a whole, or some records at a time: none is lost, however large."""
+    def record(i, body):
+        return (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:record:{i}>\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    bodies = [b"", b"a", bytes(range(256)) * 9000, b"WARC/1.0\r\n\r\n" * 50, b"x" * 70000, b"end"]
+    records = [record(i, b) for i, b in enumerate(bodies)]
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "parts.warc.gz").write_bytes(b"".join(gzip.compress(b"".join(records[i : i + 2])) for i in (0, 2, 4)))
+    (tmp_path / "single.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    for columns in (["record_id", "payload"], ["record_id"]):
+        got = warc.read_archive(spark, str(tmp_path), columns).collect()
+        assert sorted(r.record_id for r in got) == sorted(f"<urn:record:{i}>" for i in range(6) for _ in range(3))
+        assert columns == ["record_id"] or all(bytes(r.payload) == bodies[int(r.record_id[12:-1])] for r in got)
