@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chains as C
-from ..operators import cohort, loci, runs, trees
+from ..operators import cohort, filters, loci, runs, trees
 from ..functions import attributes as A
 from ..sources import annotation, records
 from . import sqlviews as S
+from .interval_queries import coding
 from .registry import query
 from .views import stored_transcripts, table, transcripts
 
@@ -146,3 +147,48 @@ def pruned_trees(spark, sf):
     nodes = records.tree_nodes(text.select(F.col("o_custkey").alias("line_no"), line.alias("value"))).withColumnRenamed("line_no", "tree")
     kept = o.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("tree"), F.concat(F.lit("o"), "o_orderkey").alias("name"))
     return trees.newick(trees.prune(nodes, kept))
+
+
+@query("filtered_records", f"""WITH {S.TX}, {S.CDS}, {_GENES}
+SELECT tid FROM tx WHERE clen>=30 AND nx>1 AND tid NOT IN (SELECT tid FROM intr WHERE e-s-1>60) AND tid IN (SELECT tid FROM cds) AND tid NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus='P')
+ AND EXISTS (SELECT 1 FROM intr i JOIN intr j ON i.seqid=j.seqid AND i.strand=j.strand AND i.s=j.s AND i.e=j.e AND j.is_template WHERE i.tid=tx.tid)""")
+def filtered_records(spark, sf):
+    """Coding records of several exons without long introns, partly finished orders left out, with an intron that a template has."""
+    tx = coding(stored_transcripts(spark, sf))
+    known = tx.where("is_template").select("seqid", "strand", F.explode(C.introns(F.col("chain"))).alias("x")).select("seqid", "strand", "x.s", "x.e")
+    drop = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("tid"))
+    return filters.record_filter(tx, exclude=drop, min_bases=30, max_intron=60, multi_exon=True, coding=True, junctions=known).select("tid")
+
+
+@query("region_coordinates", f"""WITH {S.TX}, r AS (SELECT tid, s, e, tid//40*200 AS lo, tid//40*200+400 AS hi, strand='-' AS flip FROM exon)
+SELECT tid, string_agg(CASE WHEN flip THEN hi-e+1 ELSE s-lo+1 END || '-' || CASE WHEN flip THEN hi-s+1 ELSE e-lo+1 END, ',' ORDER BY CASE WHEN flip THEN -s ELSE s END) AS inside,
+ string_agg(s||'-'||e, ',' ORDER BY s) AS back FROM r GROUP BY 1""")
+def region_coordinates(spark, sf):
+    lo, flip = F.expr("tid div 40 * 200"), F.col("strand") == "-"
+    moved = transcripts(spark, sf).withColumn("inside", filters.to_region(F.col("chain"), lo, lo + 400, flip))
+    return moved.select("tid", C.as_text(F.col("inside")).alias("inside"), C.as_text(filters.from_region(F.col("inside"), lo, lo + 400, flip)).alias("back"))
+
+
+@query("gene_flags", "SELECT p_partkey, p_partkey%7=0 AS alt, p_size%5=0 OR (p_partkey%3=0 AND p_size%2=1) OR p_partkey%11=0 AS pseudo FROM part")
+def gene_flags(spark, sf):
+    """Parts as genes: some on alternative contigs, some pseudogenes by their type, a flag or a biotype."""
+    p = table(spark, sf, "part")
+    k, n = F.col("p_partkey"), F.col("p_size")
+    seqid = F.concat(F.lit("c"), k % 5, F.when(k % 7 == 0, "_alt1").otherwise(""))
+    attrs = F.concat(
+        F.lit('gene_id "'), k, F.lit('"; is_pseudo "'), F.when((k % 3 == 0) & (n % 2 == 1), "True").otherwise("no"), F.lit('"; gene_type "'),
+        F.when(k % 11 == 0, "processed_pseudogene").otherwise("not pseudogene here"), F.lit('";'),
+    )
+    kind = F.when(n % 5 == 0, "pseudogenic_region").otherwise("gene")
+    feats = annotation.features(p.select("p_partkey", F.concat_ws("\t", seqid, F.lit("x"), kind, k.cast("string"), (k + n).cast("string"), F.lit("."), F.lit("+"), F.lit("."), attrs).alias("value")))
+    return feats.select("p_partkey", filters.on_alt_contig(F.col("seqid")).alias("alt"), filters.is_pseudogene(F.col("type"), A.parse_attributes(F.col("attributes"))).alias("pseudo"))
+
+
+@query("united_bundles", f"""WITH {S.BUNDLE} SELECT seqid, strand, bundle AS bundle_start, max(te) AS bundle_end, count(*) AS n_tx, CAST(sum(is_template::INT) AS BIGINT) AS n_templates FROM bundle GROUP BY ALL""")
+def united_bundles(spark, sf):
+    """Queries and templates as two annotations, united and bundled."""
+    from ..operators import islands
+
+    tx = stored_transcripts(spark, sf)
+    both = filters.united(tx.where("NOT is_template").drop("is_template"), tx.where("is_template").drop("is_template", "gene"))
+    return islands.bundle_summary(both)
