@@ -1,15 +1,16 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, or a window of as many words as the notice has over the whole text, so that wrapped notices are
-found; both as the set of their words.  A template is the set of words of a notice.  A block matches if it holds at least
-``THRESHOLD`` of the template's words.
+A block is a window of as many consecutive words as the notice has, anywhere in the whole text (a shorter text is one block), as
+the set of its words; so wrapped notices are found, and the words of a long line don't add up to a notice by chance.  A
+template is the set of words of a notice.  A block matches if it holds at least ``THRESHOLD`` of the template's words and
+more of them than any template of another label has.
 
 1. Count the templates' words over all texts; this global order, rare words first, sorts each template.
-2. A block with the needed overlap ``need = ceil(THRESHOLD * |template|)`` holds one of the first ``|template| - need + 1``
-   words (prefix filter), has at least ``need`` words (length filter), and the words of the template from the first match
-   on are enough (position filter).  Only such pairs are compared.
+2. A block with the needed overlap holds one of the first ``|template| - need + 1`` words (prefix filter); the words of the
+   template from the first match on are enough (position filter); the words that any block around that word could have hold
+   enough of the template (length filter).  Only then are the blocks around it compared.
 
-Lines without any of the prefix words are set aside by one pattern before they are cut into words.  The templates are
+Texts without any of the prefix words are set aside by one pattern before they are cut into words.  The templates are
 fixed, so the prefix index has a proven bound and is broadcast; everything else streams through the scan.
 Base phrases are found at their places in the whole text, across lines.
 """
@@ -80,37 +81,35 @@ def _places(rows: DataFrame, phrases: dict[str, str]) -> DataFrame:
     return words.select("id", "mark", F.explode(F.concat(*found)).alias("p")).select("id", "mark", "p.at", "p.label")
 
 
-def block_matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float, apart: bool = True) -> DataFrame:
-    """(id, mark, label, containment) of every (block, template) pair that meets the threshold; with ``apart`` a block must
-    also hold more of a template than any template of another label has in common with it."""
-    spark = rows.sparkSession
+def needed(templates: list[tuple[str, str]], threshold: float, apart: bool = True) -> list[tuple[str, list[str], int, int]]:
+    """(label, words, need, length of the notice) of each template; with ``apart`` need exceeds what templates of other labels share."""
     sets = [(label, template_words(text), len(re.findall(WORD, text))) for label, text in templates]
-    counts = _word_counts(rows, sorted({w for _, ws, _ in sets for w in ws}))
+    out = []
+    for label, ws, n in sets:
+        alike = max((len(set(ws) & set(other)) for name, other, _ in sets if name != label), default=0) if apart else 0
+        out.append((label, ws, max(1, ceil(threshold * len(ws) - 1e-9), min(len(ws), alike + 1)), n))
+    return out
+
+
+def block_matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float, apart: bool = True) -> DataFrame:
+    """(id, mark, label, containment) of every template that a block meets, with the largest containment in one block."""
+    sets = needed(templates, threshold, apart)
+    counts = _word_counts(rows, sorted({w for _, ws, _, _ in sets for w in ws}))
     index = []
-    for label, ws, n_words in sets:
-        order, need = sorted(ws, key=lambda w: (counts.get(w, 0), w)), max(1, ceil(threshold * len(ws) - 1e-9))
-        if apart:
-            alike = max((len(set(ws) & set(other)) for name, other, _ in sets if name != label), default=0)
-            need = max(need, min(len(ws), alike + 1))
-        index += [(w, label, order, need, i, n_words) for i, w in enumerate(order[: len(order) - need + 1]) if len(order) - i >= need]
-    table = spark.createDataFrame(index, "w string, label string, template array<string>, need int, place int, words int")
+    for label, ws, need, n_words in sets:
+        order = sorted(ws, key=lambda w: (counts.get(w, 0), w))
+        index += [(w, label, order, need, n_words) for i, w in enumerate(order[: len(order) - need + 1]) if len(order) - i >= need]
+    table = rows.sparkSession.createDataFrame(index, "w string, label string, template array<string>, need int, words int")
     heads = sorted({w for w, *_ in index})
-    lines = rows.select("id", "mark", F.posexplode(F.split("body", "\n")).alias("block", "line")).where(_holding(F.col("line"), heads))
-    blocks = lines.select("id", "mark", "block", F.array_distinct(az_lower_all(words_of(F.col("line")))).alias("ws"))
-    near = blocks.select("id", "mark", "block", "ws", F.explode(F.array_intersect("ws", F.array(*map(F.lit, heads)))).alias("w"))
-    pairs = near.join(F.broadcast(table), "w").where(F.size("ws") >= F.col("need"))
-    held = F.size(F.array_intersect("template", "ws"))
-    found = pairs.select("id", "mark", "block", "label", held.alias("held"), "need", F.size("template").alias("size")).where("held >= need")
-    found = found.select("id", "mark", "label", (F.col("held") / F.col("size")).alias("containment"))
-    # Across lines: the words around each prefix word, and in them the best window of the notice's length.
     span = max((n for *_, n in index), default=1)
-    texts = rows.where(F.col("body").contains("\n") & _holding(F.col("body"), heads)).select("id", "mark", az_lower_all(words_of(F.col("body"))).alias("ws"))
+    texts = rows.where(_holding(F.col("body"), heads)).select("id", "mark", az_lower_all(words_of(F.col("body"))).alias("ws"))
     at = F.filter(F.sequence(F.lit(0), F.size("ws")), lambda i: F.coalesce(F.get("ws", i).isin(heads), F.lit(False)))
-    around = F.transform(at, lambda i: F.struct(F.get("ws", i).alias("w"), F.slice("ws", F.greatest(i - span + 2, F.lit(1)), F.lit(2 * span - 1)).alias("near")))
+    around = F.transform(at, lambda i: F.struct(F.get("ws", i).alias("w"), F.slice("ws", F.greatest(i - span + 2, F.lit(1)), F.least(i + 1, F.lit(span)) + span - 1).alias("near")))
     met = texts.select("id", "mark", F.explode(around).alias("p")).select("id", "mark", "p.w", "p.near").join(F.broadcast(table), "w")
+    met = met.where(F.size(F.array_intersect("template", "near")) >= F.col("need"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("near")), lambda i: F.size(F.array_intersect("template", F.slice("near", i, F.col("words"))))))
-    wrapped = met.withColumn("held", best).where("held >= need")
-    return found.unionByName(wrapped.select("id", "mark", "label", (F.col("held") / F.size("template")).alias("containment")))
+    held = met.withColumn("held", best).where("held >= need")
+    return held.select("id", "mark", "label", (F.col("held") / F.size("template")).alias("containment"))
 
 
 def license_scan(

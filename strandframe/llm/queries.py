@@ -80,23 +80,23 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 @query
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL twin knows the plain threshold only.
-    return licenses.license_scan(table(spark, sf_dir, "documents"), apart=False)
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
 def _license_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    templates = ", ".join(f"({i}, '{label}', {quoted(licenses.template_words(text))})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    templates = ", ".join(f"('{label}', {quoted(words)}, {need}, {n})" for label, words, need, n in licenses.needed(licenses.TEMPLATES, licenses.THRESHOLD))
     phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
     return f"""
-WITH templates(t, label, tw) AS (VALUES {templates}), phrases(pw, label) AS (VALUES {phrases}),
+WITH templates(label, tw, need, n) AS (VALUES {templates}), phrases(pw, label) AS (VALUES {phrases}),
 docs AS (SELECT doc_id, text, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
 spots AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, pw, label, unnest(range(1, len(ws) + 1)) AS i FROM docs, phrases) WHERE ws[i:i + len(pw) - 1] = pw),
-lines AS (SELECT doc_id, {_WORDS.format("line")} AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
-near AS (SELECT doc_id, label, len(list_intersect(ws, tw)) AS held, len(tw) AS size FROM lines, templates),
+near AS (
+  SELECT doc_id, label, len(tw) AS size, need, max(len(list_intersect(ws[i:i + n - 1], tw))) AS held
+  FROM (SELECT doc_id, ws, label, tw, need, n, unnest(range(1, len(ws) + 1)) AS i FROM docs, templates) WHERE list_contains(tw, ws[i]) GROUP BY ALL),
 found AS (
   SELECT doc_id, label, i - 1 AS i, 1.0::DOUBLE AS score FROM spots
-  UNION ALL SELECT doc_id, label, NULL, held / size FROM near WHERE held >= ceil({licenses.THRESHOLD} * size - 1e-9)),
+  UNION ALL SELECT doc_id, label, NULL, held / size FROM near WHERE held >= need),
 of_doc AS (
   SELECT doc_id, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, max(score) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (i IS NOT NULL) AS base_labels

@@ -24,3 +24,10 @@ def test_versions_are_told_apart(spark):
     got = {r.doc_id: r.labels for r in licenses.license_scan(docs).collect()}
     assert got == {2: "gpl,gpl-2.0", 3: "gpl,gpl-3.0", 4: "gpl,gpl-3.0"}
     assert {r.labels for r in licenses.license_scan(docs, apart=False).collect()} == {"gpl,gpl-2.0,gpl-3.0"}
+
+
+def test_words_of_a_long_line_are_no_notice(spark):
+    far = "Our released notes, under no license at all, cite a paper from the institute at MIT"
+    near = "notes " * 500 + "released under the MIT license" + " notes" * 500
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame([(1, far), (2, near), (3, "MIT License the under released")], "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "mit", 3: "mit"}
