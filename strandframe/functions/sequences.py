@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .chains import let
+
 # The standard genetic code in TCAG order ("." is a stop) and the
 # IUPAC ambiguity codes.
 BASES = "TCAG"
@@ -94,34 +95,41 @@ def passes_quality(
     return ok if alphabet is None else ok & seq.rlike(f"^[{alphabet}]*$")
 
 
-# Fixed value: an open reading frame from ATG to the first stop in frame.
-ORF = "(?=(ATG(?:(?!TAA|TAG|TGA)...)*(?:TAA|TAG|TGA)))"
+# The codons that open and close a reading frame.
+START, STOPS = "ATG", ("TAA", "TAG", "TGA")
 
 
 def longest_orfs(seq: Column) -> Column:
-    """All longest open reading frames of a sequence, as offsets from 0, overlaps included.
+    """All longest open reading frames of a sequence (start codon to the first stop in frame), as offsets from 0, overlaps included.
 
-    Needs match positions of overlapping matches, which no built-in gives.
+    Each of the three frames is cut into codons once; of these only starts and stops are folded, with the first open start
+    carried along.  A start behind another open one never gives a longest frame.
     """
-    import pandas as pd
-
-    def run(seqs: pd.Series) -> pd.Series:
-        return seqs.map(_orfs_of)
-
-    # type hints are strings here, so the kind of function is given by the hint objects
-    run.__annotations__ = {"seqs": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<struct<s:bigint,e:bigint>>")(seq)
-
-
-def _orfs_of(seq: str | None) -> list[dict]:
-    best, size = [], 0
-    for m in re.finditer(ORF, seq or ""):
-        n = m.end(1) - m.start(1)
-        if n > size:
-            best, size = [], n
-        if n == size:
-            best.append({"s": m.start(1), "e": m.end(1) - 1})
-    return best
+    state = F.struct(F.lit(-1).alias("open"), F.lit(0).alias("best"), F.array().cast("array<int>").alias("at"))
+
+    def frame(f: int) -> Column:
+        cut = F.regexp_extract_all(F.substring(F.coalesce(seq, F.lit("")), f + 1, 2**31 - 1), F.lit("(?s)(.{3})"), F.lit(1))
+        kind = lambda c: F.when(c == START, 1).when(c.isin(*STOPS), 2).otherwise(0)
+        marks = F.filter(F.transform(cut, lambda c, i: F.struct(i.alias("i"), kind(c).alias("kind"))), lambda m: m["kind"] > 0)
+
+        def step(acc: Column, m: Column) -> Column:
+            n = (m["i"] - acc["open"] + 1) * 3
+            closes = (m["kind"] == 2) & (acc["open"] >= 0)
+            here = F.array(acc["open"] * 3 + f)
+            at = F.when(closes & (n > acc["best"]), here).when(closes & (n == acc["best"]), F.concat(acc["at"], here)).otherwise(acc["at"])
+            return F.struct(
+                F.when(m["kind"] == 2, -1).when(acc["open"] < 0, m["i"]).otherwise(acc["open"]).alias("open"),
+                F.when(closes, F.greatest(n, acc["best"])).otherwise(acc["best"]).alias("best"), at.alias("at"),
+            )
+
+        return F.aggregate(marks, state, step, lambda acc: F.struct(acc["best"].alias("best"), acc["at"].alias("at")))
+
+    def longest(frames: Column) -> Column:
+        best = F.array_max(F.transform(frames, lambda x: x["best"]))
+        starts = F.array_sort(F.flatten(F.transform(F.filter(frames, lambda x: x["best"] == best), lambda x: x["at"])))
+        return F.transform(starts, lambda s: F.struct(s.cast("bigint").alias("s"), (s + best - 1).cast("bigint").alias("e")))
+
+    return let(F.array(*[frame(f) for f in range(3)]), longest)
 
 
 def splice_consensus(donor: Column, acceptor: Column) -> Column:

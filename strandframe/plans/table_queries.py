@@ -213,7 +213,11 @@ def translate_seq(spark, sf):
     return _sequences(spark, sf).select("doc_id", Q.translate(F.col("seq")).alias("aa"))
 
 
-@query("orf_find")
+@query("orf_find", f"""WITH c AS (SELECT doc_id, f, unnest(cod) AS codon, generate_subscripts(cod, 1) - 1 AS i
+ FROM (SELECT doc_id, f, regexp_extract_all(substring({_SEQ}, f + 1), '...') AS cod FROM documents, range(3) t(f))),
+n AS (SELECT *, min(i) FILTER (codon IN ('TAA','TAG','TGA')) OVER (PARTITION BY doc_id, f ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM c WHERE codon IN ('ATG','TAA','TAG','TGA')),
+o AS (SELECT doc_id, i*3+f AS s, stop*3+f+2 AS e FROM n WHERE codon='ATG' AND stop IS NOT NULL)
+SELECT doc_id, s, e FROM (SELECT *, max(e-s) OVER (PARTITION BY doc_id) AS m FROM o) WHERE e-s=m""")
 def orf_find(spark, sf):
     o = _sequences(spark, sf).select("doc_id", F.explode(Q.longest_orfs("seq")).alias("o"))
     return o.select("doc_id", "o.s", "o.e")
@@ -231,7 +235,7 @@ def sequences_by_content(spark, sf):
     return s.groupBy("k").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).drop("k")
 
 
-@query("random_sample_stable")
+@query("random_sample_stable", f"SELECT o_orderkey, o_custkey FROM orders WHERE ('0x' || substr(md5(o_orderkey || ',7'), 1, 8))::BIGINT < {int(0.1 * 2**32)}")
 def random_sample_stable(spark, sf):
     return records.stable_sample(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 0.1, 7)
 

@@ -1,5 +1,6 @@
 """Coding chains fitted to sequences, against a plain version on lists of positions."""
 
+from collections import defaultdict
 from itertools import groupby
 
 import pytest
@@ -8,6 +9,7 @@ from strandframe.functions.sequences import codon_table
 from strandframe.plans import genome_queries as G
 from strandframe.plans.catalog import QUERIES
 from strandframe.plans.interval_queries import coding
+from strandframe.plans.views import transcripts
 
 SF = "/root/testdata/sf0.001"
 CODONS = codon_table()
@@ -60,6 +62,18 @@ def fit(own, cds, strand, seq):
     return own[begin - 3 * grown : begin + 3 * n]
 
 
+def strict(own, cds, strand, seq=None):
+    """Own positions between the first and the last whole template codon that both share."""
+    place = {p: j for j, p in enumerate(cds)}
+    both = [i for i, p in enumerate(own) if p in place]
+    if not both:
+        return None
+    cut = own[both[0] : both[-1] + 1]
+    if len(cut) < 3:
+        return None
+    return cut[-place[cut[0]] % 3 : len(cut) - (place[cut[-1]] + 1) % 3]
+
+
 def score(cds, fitted, strand):
     a, b = set(cds), set(fitted)
     order = sorted(a | b, reverse=strand == "-")
@@ -73,13 +87,7 @@ def score(cds, fitted, strand):
     return 10 * runs[0][0] + 10 * runs[-1][0] + extra + missing + out
 
 
-@pytest.fixture(scope="module")
-def rows(spark):
-    return coding(G._placed(spark, SF)).collect()
-
-
-def test_transfer_against_positions(spark, rows):
-    seqs = {str(r.doc_id): r.seq for r in G._sequences(spark, SF).collect()}
+def transferred(rows, fitting, seqs):
     templates = {}
     for r in sorted((r for r in rows if r.is_template and r.cds), key=lambda r: (r.start, r.end, r.tid)):
         chain = tuple((x.s, x.e) for x in r.cds)
@@ -92,11 +100,20 @@ def test_transfer_against_positions(spark, rows):
         own, best = walked([(x.s, x.e) for x in r.chain], r.strand), None
         for chain, first in templates.get((r.seqid, r.strand), {}).items():
             cds = walked(chain, r.strand)
-            got = fit(own, cds, r.strand, seqs[r.seqid]) if set(own) & set(cds) else None
+            got = fitting(own, cds, r.strand, seqs[r.seqid]) if set(own) & set(cds) else None
             if got and len(got) >= 3:
                 s = score(cds, got, r.strand)
                 found = ((s != 0, -len(got), first), s)
                 best = min(best, found) if best else found
         want[r.tid] = ("none", None, None, None) if best is None else ("imperfect" if best[0][0] else "perfect", best[0][2][2], -best[0][1], best[1])
-    got = {r.tid: (r.kind, r.template, r.bases, r.score) for r in QUERIES["orf_transfer_sequence"](spark, SF).collect()}
+    return want
+
+
+@pytest.mark.parametrize("query, fitting", [("orf_transfer_sequence", fit), ("orf_transfer", strict)])
+def test_transfer_against_positions(spark, query, fitting):
+    placed = query == "orf_transfer_sequence"
+    rows = coding(G._placed(spark, SF) if placed else transcripts(spark, SF)).collect()
+    seqs = {str(r.doc_id): r.seq for r in G._sequences(spark, SF).collect()} if placed else defaultdict(str)
+    want = transferred(rows, fitting, seqs)
+    got = {r.tid: (r.kind, r.template, r.bases, r.score) for r in QUERIES[query](spark, SF).collect()}
     assert got == want and sum(w[0] != "none" for w in want.values()) > 50
