@@ -2,8 +2,8 @@
 
 Spark does the work between reads: alignments meet annotation sites and genes
 by range joins, the two alignments of a read by an equality join, and the best
-pair of a read is one minimum.  Alignments become stretches with prefix sums,
-from which base scores and genome positions follow as array columns.
+pair of a read is one minimum.  Alignments become stretches; laid out one behind
+another they give base scores and genome positions as array columns.
 """
 
 from __future__ import annotations
@@ -88,19 +88,29 @@ def _total(values, of):
 
 
 def _bases(runs, qlen):
-    """Score of every read base: a gap counts on the base it takes or comes before."""
-    here = lambda x: lambda u: F.when((u["q"] <= x) & (x < u["q"] + F.greatest(u["n"] * u["r"], F.lit(1))), u["s"]).otherwise(0)
-    return F.transform(F.sequence(F.lit(0), qlen.cast("int") - 1), lambda x: _total(runs, here(x)))
+    """Score of every read base: a gap counts on the base it takes or comes before.
+
+    Stretches that take bases are laid out one behind another; only gaps of the read are looked for by position.
+    """
+    zero, n = F.lit(0).cast("bigint"), qlen.cast("int")
+    before = F.coalesce(F.get(runs, F.lit(0))["q"], F.lit(0))
+    laid = F.flatten(F.transform(F.filter(runs, lambda u: u["r"] == 1), lambda u: F.array_repeat(u["s"].cast("bigint"), u["n"])))
+    scores = F.slice(F.concat(F.array_repeat(zero, before), laid, F.array_repeat(zero, n)), F.lit(1), n)
+    here = lambda gaps, x: _total(gaps, lambda u: F.when(u["q"] == x, u["s"]).otherwise(0))
+    return C.let(F.filter(runs, lambda u: u["r"] == 0), lambda gaps: F.when(F.size(gaps) == 0, scores).otherwise(F.transform(scores, lambda v, x: v + here(gaps, x))))
 
 
 def _places(runs, qlen, first, start, step):
     """Genome position at every border of the read, extended in a straight line beyond the aligned part.
 
-    Gaps left of a border shift it; a border behind a base that the genome lacks has no position.
+    Gaps left of a border shift it; a border behind a base that the genome lacks has no position.  Only gaps are summed.
     """
-    shift = lambda x: _total(runs, lambda u: F.when(u["q"] < x, u["g"] - u["r"]).otherwise(0))
-    lacks = lambda x: F.exists(runs, lambda u: (u["g"] == 0) & (u["q"] == x - 1))
-    return F.transform(F.sequence(F.lit(0), qlen.cast("int") - 1), lambda x: F.when(~lacks(x), start + step * (x - first + shift(x))))
+    def of(gaps):
+        shift = lambda x: _total(gaps, lambda u: F.when(u["q"] < x, u["g"] - u["r"]).otherwise(0))
+        lacks = lambda x: F.exists(gaps, lambda u: (u["g"] == 0) & (u["q"] == x - 1))
+        return F.transform(F.sequence(F.lit(0), qlen.cast("int") - 1), lambda x: F.when(~lacks(x), start + step * (x - first + shift(x))))
+
+    return C.let(F.filter(runs, lambda u: u["g"] != u["r"]), of)
 
 
 def _marks(places, sites):

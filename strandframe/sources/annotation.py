@@ -200,14 +200,14 @@ def subset(feats: DataFrame, *, genes: DataFrame | None = None, tids: DataFrame
 
 
 def subset_by_region(feats: DataFrame, regions: DataFrame) -> DataFrame:
-    """Features inside any region (seqid, lo, hi, strand or NULL for both)."""
-    from ..operators.ranges import point_join
-
-    rows = feats.withColumn("_row", F.monotonically_increasing_id())
-    r = regions.select("seqid", "lo", "hi", F.col("strand").alias("r_strand")).distinct()
-    inside = (F.col("end") <= F.col("hi")) & (F.col("r_strand").isNull() | (F.col("r_strand") == F.col("strand")))
-    hits = point_join(rows, r, ["seqid"], "start", "lo", "hi", extra=inside)
-    return hits.dropDuplicates(["_row"]).select(feats.columns)
+    """Features inside any region (seqid, lo, hi, strand or NULL for all); existence by running maxima, so no pairs."""
+    from ..operators.ranges import containing
+
+    every = F.array(*[F.lit(x) for x in "+-.?"])
+    own = F.explode(F.when(F.col("strand").isNull(), every).otherwise(F.array("strand")))
+    spans = regions.select("seqid", own.alias("_strand"), F.col("lo").alias("start"), F.col("hi").alias("end"))
+    rows = feats.withColumn("_strand", F.coalesce("strand", F.lit(".")))
+    return containing(rows, spans, ["seqid", "_strand"], "start", "end").where("is_contained").select(feats.columns)
 
 
 def hierarchical_order(feats: DataFrame) -> DataFrame:
