@@ -29,7 +29,9 @@ def cohort_stats(samples: DataFrame) -> DataFrame:
     ``samples`` has one row per sample: (id, tissue, value), value an integer.
     Medians: of samples per tissue the middle pair is averaged and truncated;
     of values the upper element counts.  Spreads are population deviations.
+    ``samples`` is evaluated once.
     """
+    samples = stored(samples.select("id", "tissue", "value"))
     per_tissue = samples.groupBy("id", "tissue").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"),
     )
