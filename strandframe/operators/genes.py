@@ -39,6 +39,23 @@ def gene_rows(tx: DataFrame) -> DataFrame:
     )
 
 
+def gene_lines(tx: DataFrame, descriptions: DataFrame, source: str = "strandframe") -> DataFrame:
+    """(gene, seqid, start, value): annotation lines of genes with their types, names and the names' descriptions, all sorted.
+
+    tx as for :func:`gene_rows` with gene_name and gene_type; descriptions: name, description.  A single described name gives its
+    description alone, several give ``name : description`` each.
+    """
+    rows = gene_rows(tx)
+    known = tx.select("gene", F.col("gene_name").alias("name")).distinct().join(descriptions.where("description IS NOT NULL"), "name")
+    listed = known.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("name", "description"))).alias("d"))
+    told = F.array_join(F.transform("d", lambda x: F.concat(x["name"], F.lit(" : "), x["description"])), ", ")
+    text = F.when(F.size("d") == 1, F.get("d", F.lit(0))["description"]).otherwise(told)
+    field = lambda name, value: F.when(F.length(value) > 0, F.concat(F.lit(f'{name} "'), value, F.lit('";')))
+    attrs = F.concat_ws(" ", field("gene_id", F.col("gene")), field("gene_type", F.col("gene_type")), field("gene_name", F.col("gene_name")), field("description", text))
+    line = F.concat_ws("\t", "seqid", F.lit(source), F.lit("gene"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.lit("."), attrs)
+    return rows.join(listed, "gene", "left").select("gene", "seqid", "start", line.alias("value"))
+
+
 def gene_bed(tx: DataFrame, offset: int = 1) -> DataFrame:
     """seqid, start, end, gene, score, strand; spans grown by ``offset``, start at least 1."""
     g = tx.groupBy("gene").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chains as C
-from ..operators import cohort, filters, loci, runs, trees
+from ..operators import cohort, filters, genes, loci, runs, trees
 from ..functions import attributes as A
 from ..sources import annotation, records
 from . import sqlviews as S
@@ -192,3 +192,27 @@ def united_bundles(spark, sf):
     tx = stored_transcripts(spark, sf)
     both = filters.united(tx.where("NOT is_template").drop("is_template"), tx.where("is_template").drop("is_template", "gene"))
     return islands.bundle_summary(both)
+
+
+@query("gene_lines", f"""WITH {S.TX}, n AS (SELECT *, 'n'||(tid%4) AS name, CASE WHEN tid%3=0 THEN 'nc' ELSE 'coding' END AS kind FROM tx),
+g AS (SELECT gene, min(seqid) AS seqid, min(ts) AS s, max(te) AS e, CASE WHEN count(DISTINCT strand)=1 THEN min(strand) ELSE '.' END AS strand,
+ string_agg(DISTINCT name, ', ' ORDER BY name) AS names, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS kinds FROM n GROUP BY 1),
+d AS (SELECT gene, count(*) AS k, min(n_name) AS one, string_agg(name||' : '||n_name, ', ' ORDER BY name) AS many FROM (SELECT DISTINCT gene, name FROM n) JOIN nation ON name='n'||n_nationkey AND n_nationkey%2=0 GROUP BY 1)
+SELECT g.gene, seqid || chr(9) || 'strandframe' || chr(9) || 'gene' || chr(9) || s || chr(9) || e || chr(9) || '.' || chr(9) || strand || chr(9) || '.' || chr(9) || 'gene_id "' || g.gene || '"; gene_type "' || kinds
+ || '"; gene_name "' || names || '";' || CASE WHEN k IS NULL THEN '' WHEN k=1 THEN ' description "'||one||'";' ELSE ' description "'||many||'";' END AS value FROM g LEFT JOIN d USING (gene)""")
+def gene_lines(spark, sf):
+    tx = stored_transcripts(spark, sf).withColumn("gene_name", F.expr("concat('n', tid % 4)")).withColumn("gene_type", F.expr("IF(tid % 3 = 0, 'nc', 'coding')"))
+    known = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("description"))
+    return genes.gene_lines(tx, known).select("gene", "value")
+
+
+_KINDS = {"mRNA": "transcript", "five_prime_UTR": "exon", "CDS": "CDS", "coding_exon": "exon", "Stop_codon": "stop_codon", "start_codon": "start_codon", "stop_cds": "stop_codon", "intron": "intron",
+          "pseudogene": "gene", "gene_segment": "gene", "lnc_RNA": "transcript", "region": None, "primary_transcript": "transcript"}
+
+
+@query("feature_classes", "SELECT p_partkey, CASE p_size%13 " + " ".join(f"WHEN {i} THEN {repr(c or k)}" for i, (k, c) in enumerate(_KINDS.items())) + " END AS type FROM part")
+def feature_classes(spark, sf):
+    """Parts as features of thirteen spellings."""
+    kinds = F.array(*[F.lit(k) for k in _KINDS])
+    p = table(spark, sf, "part").select("p_partkey", F.get(kinds, F.col("p_size") % 13).alias("type"))
+    return annotation.by_class(p).select("p_partkey", "type")

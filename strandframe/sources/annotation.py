@@ -69,6 +69,26 @@ def features(lines: DataFrame) -> DataFrame:
     )
 
 
+def feature_class(kind: Column) -> Column:
+    """What a feature type is, by its name in either case: exon (UTRs too), stop_codon, start_codon, CDS, intron, transcript, gene, or NULL."""
+    t = F.lower(kind)
+    codon = F.contains(t, F.lit("codon")) | F.contains(t, F.lit("cds"))
+    return (
+        F.when(F.contains(t, F.lit("utr")) | F.endswith(t, F.lit("exon")), "exon")
+        .when(F.contains(t, F.lit("stop")) & codon, "stop_codon")
+        .when(F.contains(t, F.lit("start")) & codon, "start_codon")
+        .when(t == "cds", "CDS")
+        .when(F.startswith(t, F.lit("intron")) | F.endswith(t, F.lit("intron")), "intron")
+        .when(F.endswith(t, F.lit("rna")) | F.endswith(t, F.lit("transcript")), "transcript")
+        .when(F.endswith(t, F.lit("gene")) | F.startswith(t, F.lit("gene")), "gene")
+    )
+
+
+def by_class(feats: DataFrame) -> DataFrame:
+    """Features with their class as type, for files that name them otherwise; types without a class stay."""
+    return feats.withColumn("type", F.coalesce(feature_class(F.col("type")), "type"))
+
+
 def line_dialect(value: Column) -> Column:
     """gtf, gff or NULL for one line; the first decisive line decides a file."""
     blank = (F.trim(value) == "") | value.startswith("#")
