@@ -37,14 +37,24 @@ def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(other, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").drop("_id", "_mark")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it as long as a column is called so, in either case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 def rows_at(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs``, all columns, that ``kept`` (id, sha, repeated) names: one for each of its rows.
 
     ``sha`` is the text's SHA-256, a null text counts as empty.  Rows with equal id and text are told apart by their other
-    columns only; where ``repeated`` is set, the smallest stays.
+    columns only; where ``repeated`` is set, the smallest stays (columns that hold maps, which have no order, by their JSON).
+    Columns of ``docs`` may have any names and types.
     """
-    other = kept.withColumnsRenamed({"id": "_id", "sha": "_sha", "repeated": "_repeated"})
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("_sha"))
-    single = docs.join(other.where("not _repeated"), same, "left_semi")
-    shared = docs.join(other.where("_repeated"), same).groupBy("_id", "_sha").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_row"))
-    return single.unionByName(shared.select("_row.*"))
+    i, s, r, whole = (free_name(n, docs.columns) for n in ("_id", "_sha", "_repeated", "_row"))
+    other = kept.withColumnsRenamed({"id": i, "sha": s, "repeated": r})
+    same = docs[id_col].eqNullSafe(F.col(i)) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col(s))
+    single = docs.join(other.where(f"not {r}"), same, "left_semi")
+    order = F.struct(*[F.to_json(F.struct(docs[c])) if "map<" in t else docs[c] for c, t in docs.dtypes])
+    shared = docs.join(other.where(r), same).groupBy(i, s).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), order).alias(whole))
+    return single.unionByName(shared.select(f"{whole}.*"))

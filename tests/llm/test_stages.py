@@ -67,3 +67,18 @@ def test_run_against_brute_force(spark, tmp_path):
             want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()))
     got = [(r.doc_id, r.n_tokens, r.ids_sha256) for r in P.run(spark, folder).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_clashing_names_and_maps(spark):
+    """Columns called like the stages' own ones, and maps, in rows that repeat."""
+    from strandframe.llm import decontaminate, exact_dedup, simhash
+
+    text = "one two three four five six seven"
+    rows = [(1, text, 1, "x", True, {"b": 1}), (1, text, 1, "x", True, {"a": 1}), (None, text, 2, "y", False, None), (None, "other words here", 3, "z", False, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _SHA string, _repeated boolean, _row map<string,int>")
+    kept = exact_dedup.distinct_texts(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r._id, r._row) for r in kept.collect()) == [(0, 3, {}), (1, 1, {"a": 1})]
+    assert sorted((r.doc_id or 0, r._id) for r in simhash.representatives(docs).collect()) == [(0, 3), (1, 1)]
+    items = spark.createDataFrame([(1, "other words")], "item_id long, text string")
+    assert sorted(r._id for r in decontaminate.clean(docs, items).collect()) == [1, 1, 2]
