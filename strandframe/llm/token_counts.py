@@ -64,3 +64,27 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
         "n_tokens", "n_docs", "docs_at_least", "tokens_at_least", (1 - F.col("docs_at_least") / F.col("all_d")).alias("share_below"),
         (F.col("all_t") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_tokens"),
     )
+
+
+def limit_answers(sums: DataFrame, limits: list[int]) -> DataFrame:
+    """(context_limit, docs_at_least, truncated_tokens, lost_tokens) for any limits, also between and beyond the lengths of ``sums``.
+
+    One aggregate over the result of :func:`suffix_sums`; no row for an empty table.
+    """
+    own = F.struct("n_tokens", "docs_at_least", "tokens_at_least")
+    asked = [F.struct(F.lit(c).cast("long").alias("c"), F.min(F.when(F.col("n_tokens") >= c, own)).alias("r")) for c in limits]
+    rows = sums.agg(F.max("tokens_at_least").alias("all_t"), F.array(*asked).alias("a")).where("all_t IS NOT NULL")
+    rows = rows.select("all_t", F.explode("a").alias("x")).select("all_t", F.col("x.c").alias("c"), "x.r")
+    docs, tokens = F.coalesce("r.docs_at_least", F.lit(0)), F.coalesce("r.tokens_at_least", F.lit(0))
+    cut = F.col("all_t") - tokens + F.col("c") * docs
+    return rows.select(F.col("c").alias("context_limit"), docs.alias("docs_at_least"), cut.alias("truncated_tokens"), (F.col("all_t") - cut).alias("lost_tokens"))
+
+
+def quantile_answers(sums: DataFrame, quantiles: list[float]) -> DataFrame:
+    """(quantile, n_tokens): the smallest length that at least this share of the rows does not exceed; no row for an empty table."""
+    # share_below leaves out the rows of the length itself, which n_docs adds
+    all_d = F.col("docs_at_least") / (1 - F.col("share_below"))
+    rows = sums.withColumn("all_d", F.round(all_d))
+    upto = F.col("all_d") - F.col("docs_at_least") + F.col("n_docs")
+    asked = [F.struct(F.lit(float(q)).alias("quantile"), F.min(F.when(upto >= F.ceil(F.lit(float(q)) * F.col("all_d")), F.col("n_tokens"))).alias("n_tokens")) for q in quantiles]
+    return rows.agg(F.array(*asked).alias("a")).select(F.explode("a").alias("x")).select("x.*").where("n_tokens IS NOT NULL")

@@ -62,7 +62,20 @@ def test_token_counts(spark):
     lengths = spark.createDataFrame([(0, 2), (5, 1), (3000, 4)], "n_tokens long, n_docs long")
     got = sorted(tuple(r) for r in token_counts.suffix_sums(lengths).collect())
     assert [g[:4] + g[5:] for g in got] == [(0, 2, 7, 12005, 0), (5, 1, 5, 12005, 25), (3000, 4, 4, 12000, 12005)]
-    assert token_counts.suffix_sums(lengths.limit(0)).count() == 0
+    none = token_counts.suffix_sums(lengths.limit(0))
+    assert none.count() == token_counts.limit_answers(none, [1]).count() == token_counts.quantile_answers(none, [0.5]).count() == 0
+    own = [0, 0, 5] + [3000] * 4
+    sums = token_counts.suffix_sums(lengths)
+    for r in token_counts.limit_answers(sums, [0, 1, 5, 6, 3000, 9999]).collect():
+        c = r.context_limit
+        assert (r.docs_at_least, r.truncated_tokens) == (sum(n >= c for n in own), sum(min(n, c) for n in own)) and r.lost_tokens == sum(own) - r.truncated_tokens
+    got = {r.quantile: r.n_tokens for r in token_counts.quantile_answers(sums, [0.0, 0.25, 0.3, 0.43, 0.5, 1.0]).collect()}
+    assert got == {0.0: 0, 0.25: 0, 0.3: 5, 0.43: 3000, 0.5: 3000, 1.0: 3000}
+
+
+def test_token_counts_of_odd_rows(docs):
+    got = {r.n_tokens: r.n_docs for r in token_counts.histogram(docs.withColumn("n_tokens", token_counts.F.lit(1)), tokenizer_file("byte_bpe_50k.tiktoken")).collect()}
+    assert sum(got.values()) == len(ROWS) and got[0] == 2
 
 
 def test_secrets(docs):
