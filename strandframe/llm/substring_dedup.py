@@ -1,7 +1,7 @@
 """Removal of repeated passages: a count-min prefilter, then exact grouping of what it lets through.
 
-A window is ``size`` consecutive words of one text.  Windows are compared by 128 bits made of the words' 128-bit XXH3
-hashes, position by position.  Texts are handled in *chunks* of a source (about ``CHUNK`` bytes, at least one text).
+A window is ``size`` consecutive words of one text.  Windows are compared by 128 bits: two polynomials over the words' 128-bit
+XXH3 hashes, position by position.  Texts are handled in *chunks* of a source (about ``CHUNK`` bytes, at least one text).
 
 1. Every chunk builds its part of a count-min sketch.  The sketch has about 32 cells for a window of the whole input, so
    a part is sparse; it travels as sorted Golomb-coded cells with a bit for cells counted twice, each range of cells to
@@ -19,8 +19,9 @@ compared, so a table that changes between passes ends in an error, not in a wron
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -45,36 +46,53 @@ _SENT = pa.schema([("src", pa.int32()), ("chunk", pa.int32()), ("owner", pa.int3
 _DDL = "src int, chunk int, owner int, n int, k int, a binary, b binary, flags binary"
 
 
-class _Hashes(dict):
-    """word -> two 64-bit numbers, remembered."""
+class _Numbers(dict):
+    """word -> its number in two tables of 64-bit hashes, remembered."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __init__(self):
+        self.halves = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        d = xxhash.xxh3_128_intdigest(word)
+        self.halves[0].append(d >> 64)
+        self.halves[1].append(d & 0xFFFFFFFFFFFFFFFF)
+        self[word] = n = len(self)
+        return n
+
+    def room(self) -> None:
+        """Forget everything if there is too much; numbers hold until the next call."""
         if len(self) >= REMEMBERED:
             self.clear()
-        d = xxhash.xxh3_128_intdigest(word)
-        self[word] = out = (d >> 64, d & 0xFFFFFFFFFFFFFFFF)
-        return out
-
-
-def _window_keys(texts: list[list[bytes]], size: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of every window's value, text after text."""
-    factors = np.random.default_rng(35).integers(1, 1 << 63, (2, size), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    highs, lows = [], []
-    for words in texts:
-        n = len(words) - size + 1
-        if n <= 0:
-            continue
-        pair = np.array(list(map(hashes.__getitem__, words)), np.uint64)
-        for half, f, out in ((pair[:, 0].copy(), factors[0], highs), (pair[:, 1].copy(), factors[1], lows)):
-            total = np.zeros(n, np.uint64)
-            for j in range(size):
-                total += half[j : j + n] * f[j]
-            total ^= total >> np.uint64(31)
-            total *= np.uint64(0x9E3779B97F4A7C15)
-            total ^= total >> np.uint64(29)
-            out.append(total)
-    none = np.zeros(0, np.uint64)
-    return np.concatenate(highs or [none]), np.concatenate(lows or [none])
+            self.halves = array("Q"), array("Q")
+
+
+#: Fixed odd numbers, 5 modulo 8: a window's halves are the values at them of the polynomial that its words' hashes make up.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D)
+
+
+def _window_keys(texts: list[list[bytes]], size: int, numbers: _Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of every window's value, text after text; from prefix sums, so their cost does not grow with ``size``."""
+    numbers.room()
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    total = int(lengths.sum())
+    ids = np.fromiter(chain.from_iterable(map(numbers.__getitem__, ws) for ws in texts), np.int64, total)
+    at = np.flatnonzero(np.arange(size, total + size) <= np.repeat(np.cumsum(lengths), lengths))
+    out = []
+    for table, base in zip(numbers.halves, _BASES):
+        sums = np.zeros(total + 1, np.uint64)
+        np.cumsum(np.array(table, np.uint64)[ids] * _powers(base, total), out=sums[1:])
+        value = (sums[at + size] - sums[at]) * _powers(pow(base, -1, 1 << 64), total)[at]
+        value ^= value >> np.uint64(31)
+        value *= np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+        out.append(value)
+    return out[0], out[1]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 def _chunks(it: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[tuple[pa.RecordBatch, int]], list[list[bytes]]]]:
@@ -109,9 +127,9 @@ def _check(src: int, chunk: int, keys: np.ndarray) -> dict:
 def _send_cells(size: int, bits: int, owners: int, limit: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            src, hashes, starts = tools.source(), _Hashes(), _starts(bits, owners)
+            src, numbers, starts = tools.source(), _Numbers(), _starts(bits, owners)
             for chunk, _, words in _chunks(it, limit):
-                keys, _ = _window_keys(words, size, hashes)
+                keys, _ = _window_keys(words, size, numbers)
                 yield _check(src, chunk, keys)
                 cells, counts = np.unique(_cells(keys, bits), return_counts=True)
                 cuts = [*np.searchsorted(cells, starts).tolist(), len(cells)]
@@ -196,10 +214,10 @@ def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _send_pairs(size: int, bits: int, owners: int, cells: str, limit: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            src, hashes = tools.source(), _Hashes()
+            src, numbers = tools.source(), _Numbers()
             starts, flags = _starts(64, owners), _flags(cells, src)
             for chunk, _, words in _chunks(it, limit):
-                high, low = _window_keys(words, size, hashes)
+                high, low = _window_keys(words, size, numbers)
                 keep = _let_through(high, bits, chunk, flags)
                 yield _check(src, chunk, high)
                 h, l, _, counts = _distinct(high[keep], low[keep])
@@ -223,10 +241,10 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
 
 def _cut(size: int, bits: int, cells: str, pairs: str, limit: int, with_text: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, hashes = tools.source(), _Hashes()
+        src, numbers = tools.source(), _Numbers()
         through, repeated = _flags(cells, src), _flags(pairs, src)
         for chunk, held, words in _chunks(it, limit):
-            high, low = _window_keys(words, size, hashes)
+            high, low = _window_keys(words, size, numbers)
             keep = _let_through(high, bits, chunk, through)
             _, _, inverse, _ = _distinct(high[keep], low[keep])
             hit = np.zeros(len(high), bool)
