@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,8 @@ CHUNK = 8 << 20
 CELLS_PER_BYTE = 6
 #: Text bytes for which one owner takes the windows.
 PER_OWNER = 16 << 20
+#: Words whose windows are formed together (at least one text).
+PORTION = 1 << 17
 #: Words whose hashes a task remembers; a matter of speed only.
 REMEMBERED = 1 << 20
 
@@ -74,6 +76,12 @@ def _window_keys(texts: list[list[bytes]], size: int, numbers: _Numbers) -> tupl
     """The two halves of every window's value, text after text; from prefix sums, so their cost does not grow with ``size``."""
     numbers.room()
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    cut = np.flatnonzero(np.diff(np.cumsum(lengths) // PORTION)) + 1
+    parts = [_portion_keys(texts[i:j], lengths[i:j], size, numbers) for i, j in pairwise([0, *cut.tolist(), len(texts)])]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _portion_keys(texts: list[list[bytes]], lengths: np.ndarray, size: int, numbers: _Numbers) -> list[np.ndarray]:
     total = int(lengths.sum())
     ids = np.fromiter(chain.from_iterable(map(numbers.__getitem__, ws) for ws in texts), np.int64, total)
     at = np.flatnonzero(np.arange(size, total + size) <= np.repeat(np.cumsum(lengths), lengths))
@@ -86,7 +94,7 @@ def _window_keys(texts: list[list[bytes]], size: int, numbers: _Numbers) -> tupl
         value *= np.uint64(0x9E3779B97F4A7C15)
         value ^= value >> np.uint64(29)
         out.append(value)
-    return out[0], out[1]
+    return out
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -43,3 +43,15 @@ def test_empty_and_text(spark, tmp_path):
     folder = str(tmp_path / "docs")
     df.write.parquet(folder)
     assert substring_dedup.remove_repeats(spark.read.parquet(folder), 2, with_text=True).head().kept == "c d"
+
+
+def test_window_values_do_not_depend_on_portions(monkeypatch):
+    rng = random.Random(2)
+    texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(n)] for n in (0, 3, 90, 1, 35, 400, 34, 36)]
+    whole = substring_dedup._window_keys(texts, 35, substring_dedup._Numbers())
+    monkeypatch.setattr(substring_dedup, "PORTION", 40)
+    parts = substring_dedup._window_keys(texts, 35, substring_dedup._Numbers())
+    assert all((x == y).all() for x, y in zip(whole, parts)) and len(whole[0]) == sum(max(0, len(t) - 34) for t in texts)
+    of = [tuple(t[i : i + 35]) for t in texts for i in range(len(t) - 34)]
+    assert len(set(zip(*(x.tolist() for x in whole)))) == len(set(of))
+    assert len(substring_dedup._window_keys([], 35, substring_dedup._Numbers())[0]) == 0
