@@ -105,3 +105,20 @@ def test_secrets_from_findings(spark):
     found = spark.createDataFrame([(i, 1, 0, i % 2) for i in range(40)], "id long, at int, nth int, label int")
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), found).collect()
     assert len(got) == 40 and all(r.is_secret == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_look_ups_by_broadcast_and_by_shuffle(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, ITEM), (2, "Reserved"), (3, "the mit license")], "item_id long, text string")
+    both = []
+    for size, rows in ((decontaminate.BROADCAST_BYTES, secrets.BROADCAST_ROWS), (-1, -1)):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", rows)
+        found = decontaminate.contamination(docs, items)
+        both.append((sorted(map(tuple, found.collect()), key=str), sorted(map(tuple, secrets.scan(docs).collect()))))
+    assert both[0] == both[1] and sum(r[5] for r in both[0][0]) == 3
+
+
+def test_a_text_that_stands_twice_under_one_id(spark):
+    docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (1, ITEM.upper()), (None, ITEM), (1, "x")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, docs.selectExpr("doc_id AS item_id", "text").where("doc_id IS NOT NULL AND text <> 'x'")).collect())
+    assert got == [(0, 11, 11, True), (1, 1, 0, False), (1, 11, 11, True), (1, 11, 11, True), (1, 11, 11, True)]
