@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chains as C
-from .ranges import point_join
+from .islands import merge_intervals
 
 # Column names of the formats.
 FIELDS = ("qseqid", "qlen", "sseqid", "qstart", "qend", "sstart", "send", "btop")
@@ -42,27 +42,45 @@ def gene_spans(tx: DataFrame) -> DataFrame:
     return whole.unionByName(ex).distinct()
 
 
+#: Sites and genes are kept by bins of 2**BIN_BITS positions.
+BIN_BITS = 8
+
+
+def _bins(sites: DataFrame, spans: DataFrame) -> DataFrame:
+    """(seqid, bin, donors, acceptors, spans): what stands in each bin; the spans of a gene are merged, as only their union matters."""
+    # a gene without a name is one, too; a span without an end counts by its start
+    named = spans.select("seqid", F.struct(F.col("gene").cast("string").alias("gene")).alias("g"), "exon", F.col("gs").cast("bigint").alias("gs"), F.greatest("gs", "ge").cast("bigint").alias("ge"))
+    merged = merge_intervals(named, ["seqid", "g", "exon"], "gs", "ge", gap=1)
+    none = lambda t: F.lit(None).cast(t)
+    site, span = "struct<pos:bigint,gene:string>", "struct<gs:bigint,ge:bigint,gene:string,exon:int>"
+    at = F.struct(F.col("pos").cast("bigint").alias("pos"), "gene").cast(site)
+    points = sites.select("seqid", F.shiftright(F.col("pos").cast("bigint"), BIN_BITS).alias("bin"), F.when(F.col("kind") == "d", at).alias("d"), F.when(F.col("kind") == "a", at).alias("a"), none(span).alias("x"))
+    first, last = F.shiftright(F.col("gs"), BIN_BITS), F.shiftright(F.col("ge"), BIN_BITS)
+    spread = merged.select("seqid", F.explode(F.sequence(first, last)).alias("bin"), none(site).alias("d"), none(site).alias("a"), F.struct("gs", "ge", "g.gene", "exon").cast(span).alias("x"))
+    return points.unionByName(spread).groupBy("seqid", "bin").agg(*[F.collect_list(c).alias(name) for c, name in (("d", "donors"), ("a", "acceptors"), ("x", "spans"))])
+
+
 def profile(aln: DataFrame, sites: DataFrame, spans: DataFrame) -> DataFrame:
-    """Distinct alignments with the sites near them and the text of the genes they touch."""
-    base = aln.select(*FIELDS).distinct().withColumn("line", F.concat_ws("\t", *FIELDS)).withColumn("aid", F.sha2("line", 256))
+    """Distinct alignments with the sites near them and the text of the genes they touch.
+
+    An alignment meets the bins in its reach, a row each, not each site and gene by itself.
+    """
+    base = aln.select(*FIELDS).distinct()
     lo, hi = F.least("sstart", "send").cast("bigint"), F.greatest("sstart", "send").cast("bigint")
     # the read may reach past its aligned part by its whole length on either side
-    reach = base.select("aid", F.col("sseqid").alias("seqid"), (lo - F.col("qlen")).alias("lo"), (hi + F.col("qlen")).alias("hi"))
-    near = point_join(sites, reach, ["seqid"], "pos", "lo", "hi")
-    # at most two sites per position of the read's reach
-    pick = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "gene"))))
-    found = near.groupBy("aid").agg(pick("d").alias("donors"), pick("a").alias("acceptors"))
-
-    body = base.select("aid", F.col("sseqid").alias("seqid"), lo.alias("b"), hi.alias("e")).where("b < e")
-    tail = point_join(spans, body.withColumn("e1", F.col("e") - 1), ["seqid"], "gs", "b", "e1")
-    head = point_join(body, spans, ["seqid"], "b", "gs", "ge", extra=F.col("gs") < F.col("b"))
-    both = tail.select("aid", "gene", "exon").unionByName(head.select("aid", "gene", "exon"))
-    per_gene = both.groupBy("aid", "gene").agg(F.max("exon").alias("exon"))
-    word = F.concat("gene", F.lit(":"), F.when(F.col("exon") == 1, "exon").otherwise("intron"))
-    genes = per_gene.groupBy("aid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gene", word.alias("w")))), lambda x: x["w"]), ";").alias("genes")
-    )
-    return base.join(found, "aid", "left").join(genes, "aid", "left").withColumn("genes", F.coalesce("genes", F.lit("-"))).drop("aid")
+    far_lo, far_hi = lo - F.col("qlen"), hi + F.col("qlen")
+    reach = F.sequence(F.shiftright(F.least(lo, far_lo), BIN_BITS), F.shiftright(F.greatest(hi, far_hi), BIN_BITS))
+    met = base.select(*FIELDS, F.col("sseqid").alias("seqid"), F.explode_outer(reach).alias("bin")).join(_bins(sites, spans), ["seqid", "bin"], "left")
+    near = lambda c: F.filter(c, lambda x: (x["pos"] >= far_lo) & (x["pos"] <= far_hi)).alias(c)
+    touched = F.filter("spans", lambda x: (lo < hi) & (x["gs"] < hi) & (x["ge"] >= lo))
+    hits = F.transform(touched, lambda x: F.struct(x["gene"].alias("gene"), x["exon"].alias("exon"))).alias("hits")
+    # one exchange on the read serves this grouping and the join of both alignments
+    each = met.select(*FIELDS, near("donors"), near("acceptors"), hits).repartition("qseqid")
+    found = each.groupBy(*FIELDS).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("donors", "acceptors", "hits")])
+    of = lambda g: F.array_contains("hits", F.struct(g.alias("gene"), F.lit(1).alias("exon")))
+    words = F.transform(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["gene"]))), lambda g: F.concat(g, F.lit(":"), F.when(of(g), "exon").otherwise("intron")))
+    genes = F.when(F.size("hits") > 0, F.array_join(words, ";")).otherwise("-")
+    return found.select(*FIELDS, F.concat_ws("\t", *FIELDS).alias("line"), F.array_sort("donors").alias("donors"), F.array_sort("acceptors").alias("acceptors"), genes.alias("genes"))
 
 
 def _runs(btop, first):
@@ -120,18 +138,19 @@ def _marks(places, sites):
     return F.array_sort(F.filter(found, lambda m: m["i"] >= 0))
 
 
-def with_ways(aln: DataFrame) -> DataFrame:
-    """``aln`` with ``ways``: bases, places, donors and acceptors of both reading directions."""
-    ops = F.regexp_extract_all("btop", F.lit("[0-9]+|[A-Za-z-]{2}"), F.lit(0))
-    step = F.when(F.col("sstart") < F.col("send"), 1).otherwise(-1)
-    for way, ordered, first, start, turn in (("f", ops, F.col("qstart") - 1, "sstart", step), ("r", F.reverse(ops), F.col("qlen") - F.col("qend"), "send", -step)):
+def with_ways(aln: DataFrame, tag: str = "") -> DataFrame:
+    """``aln`` with ``ways``: bases, places, donors and acceptors of both reading directions; ``tag`` ends the names of all columns."""
+    col = lambda c: F.col(c + tag)
+    ops = F.regexp_extract_all(col("btop"), F.lit("[0-9]+|[A-Za-z-]{2}"), F.lit(0))
+    step = F.when(col("sstart") < col("send"), 1).otherwise(-1)
+    for way, ordered, first, start, turn in (("f", ops, col("qstart") - 1, "sstart", step), ("r", F.reverse(ops), col("qlen") - col("qend"), "send", -step)):
         aln = aln.withColumn(f"_runs_{way}", _runs(ordered, first))
-        aln = aln.withColumn(f"_at_{way}", _places(F.col(f"_runs_{way}"), F.col("qlen"), first, F.col(start), turn))
+        aln = aln.withColumn(f"_at_{way}", _places(F.col(f"_runs_{way}"), col("qlen"), first, col(start), turn))
     one = lambda w: F.struct(
-        _bases(F.col(f"_runs_{w}"), F.col("qlen")).alias("bases"), F.col(f"_at_{w}").alias("places"),
-        _marks(F.col(f"_at_{w}"), F.col("donors")).alias("donors"), _marks(F.col(f"_at_{w}"), F.col("acceptors")).alias("acceptors"),
+        _bases(F.col(f"_runs_{w}"), col("qlen")).alias("bases"), F.col(f"_at_{w}").alias("places"),
+        _marks(F.col(f"_at_{w}"), col("donors")).alias("donors"), _marks(F.col(f"_at_{w}"), col("acceptors")).alias("acceptors"),
     )
-    return aln.withColumn("ways", F.array(one("f"), one("r"))).drop("_runs_f", "_runs_r", "_at_f", "_at_r", "donors", "acceptors")
+    return aln.withColumn("ways" + tag, F.array(one("f"), one("r"))).drop("_runs_f", "_runs_r", "_at_f", "_at_r", "donors" + tag, "acceptors" + tag)
 
 
 def border(one, two):
@@ -169,18 +188,20 @@ def cuts(left, right, donors, acceptors, cut, full: int, half: int):
 
 
 def score_pairs(pairs: DataFrame, full: int = 5, half: int = 3) -> DataFrame:
-    """The best cut of each trial of a pair of alignments (columns ``*_1`` and ``*_2``): both directions, both orders."""
-    keep = [F.col("qseqid_1").alias("read_name"), "line_1", "line_2", F.col("sseqid_1").alias("genome1_seqid"), F.col("sseqid_2").alias("genome2_seqid"),
+    """The best cut of each reading direction of a pair of alignments (columns ``*_1`` and ``*_2``), over both orders."""
+    keep = ["_read", F.col("qseqid_1").alias("read_name"), "line_1", "line_2", F.col("sseqid_1").alias("genome1_seqid"), F.col("sseqid_2").alias("genome2_seqid"),
             F.col("genes_1").alias("gene1"), F.col("genes_2").alias("gene2")]
     each = pairs.select(*keep, F.posexplode(F.arrays_zip("ways_1", "ways_2")).alias("way", "w"))
     each = each.select("*", F.col("w.ways_1").alias("one"), F.col("w.ways_2").alias("two")).drop("w")
     each = each.withColumn("cut", border(F.col("one.bases"), F.col("two.bases")))
     straight = cuts(F.col("one.bases"), F.col("two.bases"), F.col("one.donors"), F.col("two.acceptors"), F.col("cut"), full, half)
     crossed = cuts(F.col("two.bases"), F.col("one.bases"), F.col("two.donors"), F.col("one.acceptors"), F.col("cut"), full, half)
-    tried = each.select("*", F.posexplode(F.concat(straight, crossed)).alias("nth", "t"))
-    return tried.select(
-        *[c for c in each.columns if c not in ("one", "two", "cut", "way")], F.struct("way", "nth").alias("trial"),
-        (_total(F.col("t.vector"), lambda x: x) / F.size("t.vector")).alias("score"),
+    # trials are compared within the row; only the best one leaves it
+    ranked = F.transform(F.concat(straight, crossed), lambda t, nth: F.struct((-(_total(t["vector"], lambda x: x) / F.size(t["vector"]))).alias("neg"), nth.alias("nth"), t.alias("t")))
+    best = each.select("*", F.explode(F.array(F.array_min(ranked))).alias("best")).where("best IS NOT NULL").select("*", F.col("best.t").alias("t"))
+    return best.select(
+        *[c for c in each.columns if c not in ("one", "two", "cut", "way")], F.struct("way", F.col("best.nth").alias("nth")).alias("trial"),
+        (-F.col("best.neg")).alias("score"),
         F.col("t.cut").cast("bigint").alias("genome1_read_breakpoint"), (F.col("t.cut") - 1).cast("bigint").alias("genome2_read_breakpoint"),
         F.get("one.places", F.col("t.cut")).alias("genome1_breakpoint"), F.get("two.places", F.col("t.cut") - 1).alias("genome2_breakpoint"),
         F.coalesce("t.junction1", F.lit("-")).alias("junction1"), F.coalesce("t.junction2", F.lit("-")).alias("junction2"),
@@ -194,15 +215,17 @@ def find_breakpoints(
     """The best breakpoint of every read aligned to both genomes (13 columns).
 
     Highest score first; of equal scores the first pair in line order.  Copies
-    of an alignment are removed before pairs are formed.
+    of an alignment are removed before pairs are formed.  Base scores and places are laid out once the alignments
+    have met, so no exchange carries them.
     """
-    p1 = with_ways(profile(aln1, splice_sites(tx1), gene_spans(tx1)))
-    p2 = with_ways(profile(aln2, splice_sites(tx2), gene_spans(tx2)))
+    p1 = profile(aln1, splice_sites(tx1), gene_spans(tx1))
+    p2 = profile(aln2, splice_sites(tx2), gene_spans(tx2))
     tag = lambda p, k: p.select(F.col("qseqid").alias("_read"), *[F.col(c).alias(f"{c}_{k}") for c in p.columns])
-    scored = score_pairs(tag(p1, 1).join(tag(p2, 2), "_read").drop("_read"), full, half)
+    pairs = tag(p1, 1).join(tag(p2, 2), "_read")
+    scored = score_pairs(with_ways(with_ways(pairs, "_1"), "_2"), full, half)
     rank = F.struct((-F.col("score")).alias("neg"), "line_1", "line_2", "trial")
     cols = [c for c in BREAKPOINT_FIELDS if c != "read_name"]
-    return scored.groupBy("read_name").agg(F.min_by(F.struct(*cols), rank).alias("b")).select("read_name", "b.*")
+    return scored.groupBy("_read").agg(F.min_by(F.struct("read_name", *cols), rank).alias("b")).select("b.*")
 
 
 def group_breakpoints(bps: DataFrame) -> DataFrame:

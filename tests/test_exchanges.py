@@ -26,3 +26,30 @@ def test_ends_carry_no_chains(spark):
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Window") <= 4 and "introns" not in text
     assert got.count() == 20
+
+
+def test_a_pair_leaves_one_trial_per_direction(spark):
+    cols = "_read string, qseqid_1 string, sseqid_1 string, line_1 string, genes_1 string, sseqid_2 string, line_2 string, genes_2 string"
+    side = "array<struct<bases:array<bigint>,places:array<bigint>,donors:array<struct<i:int,label:string>>,acceptors:array<struct<i:int,label:string>>>>"
+    one = [([1, 1, 1, 0, 0], [5, 6, 7, 8, 9], [(2, "d")], [(3, "e")])] * 2
+    two = [([0, 0, 0, 1, 1], [5, 6, 7, 8, 9], [(1, "d")], [(3, "e")])] * 2
+    df = spark.createDataFrame([("r", "r", "h", "l1", "-", "p", "l2", "-", one, two)], f"{cols}, ways_1 {side}, ways_2 {side}")
+    got = B.score_pairs(df).collect()
+    assert len(got) == 2 and all(abs(r.score - sum(map(int, r.binread)) / len(r.binread)) < 1e-12 for r in got)
+    assert got[0].junction1 == "d" and got[0].junction2 == "e"
+
+
+def test_genes_and_sites_by_bins(spark):
+    """Spans over many bins, sites at the edge of the reach, a gene without a name, an alignment without a place."""
+    aln = spark.createDataFrame(
+        [("r1", 10, "h", 1, 10, 1000, 1009, "10"), ("r2", 10, "h", 1, 10, 5009, 5000, "10"), ("r3", 10, "h", 1, 10, None, None, "10")],
+        "qseqid string, qlen long, sseqid string, qstart long, qend long, sstart long, send long, btop string",
+    )
+    sites = spark.createDataFrame([("h", 990, "d", "x"), ("h", 989, "d", "x"), ("h", 1019, "a", "y"), ("h", 1020, "a", "y")], "seqid string, pos long, kind string, gene string")
+    spans = spark.createDataFrame([("h", 1, 9000, "x", 0), ("h", 1004, 1005, "x", 1), ("h", 1009, 1100, "z", 1), ("h", 5000, 5001, None, 1)], "seqid string, gs long, ge long, gene string, exon int")
+    got = {r.qseqid: r for r in B.profile(aln, sites, spans).collect()}
+    assert [tuple(x) for x in got["r1"].donors] == [(990, "x")] and [tuple(x) for x in got["r1"].acceptors] == [(1019, "y")]
+    assert [got[r].genes for r in ("r1", "r2", "r3")] == ["x:exon", "x:intron", "-"]
+    # a span is a row for each bin of its own, however many transcripts of its gene share it
+    many = spans.select("seqid", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("gs"), "ge", "gene", "exon").where("gene = 'x' AND exon = 0")
+    assert B._bins(sites.where("false"), many).agg(F.max(F.size("spans"))).first()[0] == 1
