@@ -101,11 +101,10 @@ def fitted_chains(tx: DataFrame, check_length: bool = True) -> DataFrame:
     """Every query class with every coding chain that shares bases with it."""
     q = chain_classes(tx.where(~F.col("is_template"))).select(*AXIS, "tid", "start", "end", "chain")
     p = overlap_join(q, coding_templates(tx, check_length), AXIS)
-    cut = p.withColumn("cut", C.clip_to_shared(F.col("l_chain"), F.col("r_cds")))
-    cut = cut.where(C.chain_length(F.col("cut")) >= 3)
+    cut = once(p, "cut", C.clip_to_shared(F.col("l_chain"), F.col("r_cds"))).where(C.chain_length(F.col("cut")) >= 3)
     fitted = trim_to_codons(F.col("l_chain"), F.col("cut"), F.col("r_cds"), F.col("strand")) if check_length else F.col("cut")
-    fit = cut.withColumn("fitted", fitted).where(C.chain_length(F.col("fitted")) >= 3)
-    return fit.withColumn("d", difference(F.col("r_cds"), F.col("fitted"), F.col("strand"))).select(
+    fit = once(cut, "fitted", fitted).where(C.chain_length(F.col("fitted")) >= 3)
+    return once(fit, "d", difference(F.col("r_cds"), F.col("fitted"), F.col("strand"))).select(
         F.col("l_tid").alias("class_tid"), F.col("r_first").alias("first"), "fitted", C.chain_length(F.col("fitted")).alias("n"), "d.*"
     )
 

@@ -53,3 +53,11 @@ def test_genes_and_sites_by_bins(spark):
     # a span is a row for each bin of its own, however many transcripts of its gene share it
     many = spans.select("seqid", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("gs"), "ge", "gene", "exon").where("gene = 'x' AND exon = 0")
     assert B._bins(sites.where("false"), many).agg(F.max(F.size("spans"))).first()[0] == 1
+
+
+def test_fits_are_computed_once(spark):
+    """The shared part of a pair of chains stands once in the plan, not again in its filters."""
+    tx = tx_rows(spark).withColumn("cds", F.col("chain"))
+    text = transfer.fitted_chains(tx)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in text.split("\n") if re.search(r"\bFilter\b", x)]
+    assert not any("arrays_overlap" in x or x.count("transform(") for x in filters)
