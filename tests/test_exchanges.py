@@ -61,3 +61,12 @@ def test_fits_are_computed_once(spark):
     text = transfer.fitted_chains(tx)._jdf.queryExecution().optimizedPlan().toString()
     filters = [x for x in text.split("\n") if re.search(r"\bFilter\b", x)]
     assert not any("arrays_overlap" in x or x.count("transform(") for x in filters)
+
+
+def test_trees_are_handed_over_in_batches(spark):
+    """Nodes of many trees come as few tables; a larger batch than one table is cut."""
+    assert records.TREE_ROWS >= 1000
+    n = 9000
+    lines = spark.range(n).select(F.col("id").alias("line_no"), F.expr("concat('(a', id, ':1,b)c', id, ';')").alias("value")).coalesce(1)
+    got = records.tree_nodes(lines)
+    assert got.agg(F.count("*"), F.count_if("is_leaf"), F.countDistinct("name")).first() == (3 * n, 2 * n, 2 * n + 1)
