@@ -57,7 +57,8 @@ def features(lines: DataFrame) -> DataFrame:
     Reversed coordinates are swapped.
     """
     parts = F.split(F.regexp_replace("value", "#.*$", ""), "\t")
-    f = lines.withColumn("_p", parts).where(F.size("_p") == 9)
+    # a generator of one row keeps the filter from cutting the text a second time
+    f = lines.select("*", F.explode(F.array(parts)).alias("_p")).where(F.size("_p") == 9)
     a, b = F.try_element_at("_p", F.lit(4)).try_cast("bigint"), F.try_element_at("_p", F.lit(5)).try_cast("bigint")
     text = lambda i: F.trim(F.element_at("_p", i))
     kept = [c for c in lines.columns if c != "value"]
@@ -112,7 +113,7 @@ def with_ids(feats: DataFrame, gff: bool = False) -> DataFrame:
 
     GFF3 exons may name several parents; each gets its own row.
     """
-    bag = feats.withColumn("attrs", A.parse_attributes(F.col("attributes"), gff))
+    bag = feats.select(*[c for c in feats.columns if c != "attrs"], F.explode(F.array(A.parse_attributes(F.col("attributes"), gff))).alias("attrs"))
     get = lambda k: F.try_element_at("attrs", F.lit(k))
     if not gff:
         return bag.withColumn("tid", get("transcript_id")).withColumn("gene", get("gene_id"))

@@ -63,6 +63,12 @@ def test_fits_are_computed_once(spark):
     assert not any("arrays_overlap" in x or x.count("transform(") for x in filters)
 
 
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([('s\tx\texon\t1\t9\t.\t+\t.\ttranscript_id "t"; gene_id "g";',)], "value string")
+    text = annotation.assemble(annotation.with_ids(annotation.features(lines)))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("#.*$") == 1
+
+
 def test_trees_are_handed_over_in_batches(spark):
     """Nodes of many trees come as few tables; a larger batch than one table is cut."""
     assert records.TREE_ROWS >= 1000
