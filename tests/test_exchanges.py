@@ -69,6 +69,13 @@ def test_lines_are_parsed_once(spark):
     assert text.count("#.*$") == 1
 
 
+def test_only_keys_of_several_blocks_hand_on(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 1 << 21, 2), ("b", 3, 1), ("b", 4, 7)], "k string, p long, v long")
+    out = scans.running(df, ["k"], "p", {"m": ("v", "max"), "n": ("v", "sum")})
+    assert "isnotnull(_c_m" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.k, r.p): (r.m, r.n) for r in out.collect()} == {("a", 1): (None, 0), ("a", 1 << 21): (5, 5), ("b", 3): (None, 0), ("b", 4): (1, 1)}
+
+
 def test_trees_are_handed_over_in_batches(spark):
     """Nodes of many trees come as few tables; a larger batch than one table is cut."""
     assert records.TREE_ROWS >= 1000
