@@ -12,7 +12,7 @@ from ..operators.ranges import overlap_join
 from . import sqlviews as S
 from .registry import query
 from ..session import stored
-from .views import exons, raw_exons, stored_transcripts, transcripts
+from .views import exons, stored_transcripts, touching_exons, transcripts
 
 
 def coding(tx: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def merged_exons(spark, sf):
 
 @query("merged_exons_inclusive", f"WITH {S.RAW}, {S.merged('m', 'raw', 'tid', 1)} SELECT tid, s, e FROM m")
 def merged_exons_inclusive(spark, sf):
-    return islands.merge_intervals(raw_exons(spark, sf), ["tid"], gap=1)
+    return touching_exons(spark, sf)
 
 
 @query("covered_segments", f"WITH {S.EXON}, {S.merged('m', 'exon', 'seqid, strand')} SELECT seqid, strand, s, e FROM m")

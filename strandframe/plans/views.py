@@ -39,6 +39,17 @@ def raw_exons(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def touching_exons(spark: SparkSession, sf: str) -> DataFrame:
+    """(tid, s, e) with adjacent exons of a transcript merged; one exchange, as in :func:`_chains`.
+
+    An exon without an end counts only where no other one has its start.
+    """
+    held = raw_exons(spark, sf).where("tid IS NOT NULL AND s IS NOT NULL").repartition("tid").groupBy("tid")
+    one = held.agg(F.collect_set(C.interval(F.col("s"), F.col("e"))).alias("all"))
+    ended = lambda x: x["e"].isNotNull() | ~F.exists("all", lambda y: (y["s"] == x["s"]) & y["e"].isNotNull())
+    return one.select("tid", F.explode(C.merge(F.filter("all", ended), 1)).alias("x")).select("tid", "x.s", "x.e")
+
+
 def _chains(spark: SparkSession, sf: str) -> DataFrame:
     """(tid, chain): plain rows of three numbers go through one exchange on tid, then a set per transcript.  A transcript is one row by the data model."""
     held = raw_exons(spark, sf).repartition("tid").groupBy("tid").agg(F.collect_set(C.interval(F.col("s"), F.col("e"))).alias("all"))

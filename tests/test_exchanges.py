@@ -83,3 +83,15 @@ def test_trees_are_handed_over_in_batches(spark):
     lines = spark.range(n).select(F.col("id").alias("line_no"), F.expr("concat('(a', id, ':1,b)c', id, ';')").alias("value")).coalesce(1)
     got = records.tree_nodes(lines)
     assert got.agg(F.count("*"), F.count_if("is_leaf"), F.countDistinct("name")).first() == (3 * n, 2 * n, 2 * n + 1)
+
+
+def test_touching_exons_take_one_exchange(spark, tmp_path):
+    """It used to run blocked windows with five sorts and hash tables in a task."""
+    from strandframe.plans import views
+
+    rows = [(1, 0, 2.0), (1, 0, None), (1, 1, None), (1, 2, 3.0), (1, 2, 2.0), (2, 0, None), (None, 0, 2.0), (3, None, 2.0)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = views.touching_exons(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, 0, 5), (1, 15, None), (1, 30, 39), (2, 0, None)]
+    fresh = plan(views.touching_exons(spark, str(tmp_path)))
+    assert fresh.count("Exchange") == 1 and "Window" not in fresh
