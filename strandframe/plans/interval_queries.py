@@ -12,7 +12,7 @@ from ..operators.ranges import overlap_join
 from . import sqlviews as S
 from .registry import query
 from ..session import stored
-from .views import exons, stored_transcripts, touching_exons, transcripts
+from .views import axis_columns, exons, raw_exons, stored_transcripts, touching_exons, transcripts
 
 
 def coding(tx: DataFrame) -> DataFrame:
@@ -390,7 +390,8 @@ def _source() -> F.Column:
 pos AS (SELECT seqid, src, unnest(range(s, e+1)) AS p FROM lab), m AS (SELECT seqid, p, bit_or(CAST(1 << src AS BIGINT)) AS mask FROM pos GROUP BY 1,2)
 SELECT seqid, mask, count(*) AS bases FROM m GROUP BY 1,2""")
 def venn3_bp(spark, sf):
-    ex = exons(spark, sf).select("seqid", "s", "e", _source().alias("src"))
+    # the bases of a source do not depend on whether exons are merged in their transcripts first
+    ex = raw_exons(spark, sf).select(*axis_columns(), "tid", "s", "e").select("seqid", "s", "e", _source().alias("src"))
     return sets.venn_bases(ex, ["seqid"], "src", SOURCES)
 
 
