@@ -1,17 +1,21 @@
 """Breakpoints of reads that align to two genomes.
 
 Spark does the work between reads: alignments meet annotation sites and genes
-by range joins, the two alignments of a read by an equality join, and the best
-pair of a read is one minimum.  Alignments become stretches; laid out one behind
-another they give base scores and genome positions as array columns.
+by range joins, the alignments of a read to both genomes by an equality join.  Alignments become stretches; laid out one behind
+another they give base scores and genome positions as array columns.  The scan
+of pairs does so for many reads at a time (:mod:`.borders`); reads that lack a
+value go by the columns here.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chains as C
+from . import borders
 from .islands import merge_intervals
 
 # Column names of the formats.
@@ -60,11 +64,8 @@ def _bins(sites: DataFrame, spans: DataFrame) -> DataFrame:
     return points.unionByName(spread).groupBy("seqid", "bin").agg(*[F.collect_list(c).alias(name) for c, name in (("d", "donors"), ("a", "acceptors"), ("x", "spans"))])
 
 
-def profile(aln: DataFrame, sites: DataFrame, spans: DataFrame) -> DataFrame:
-    """Distinct alignments with the sites near them and the text of the genes they touch.
-
-    An alignment meets the bins in its reach, a row each, not each site and gene by itself.
-    """
+def _met(aln: DataFrame, sites: DataFrame, spans: DataFrame) -> DataFrame:
+    """(FIELDS, donors, acceptors, hits): distinct alignments with the sites near them and what genes they touch, a row for each bin in their reach."""
     base = aln.select(*FIELDS).distinct()
     lo, hi = F.least("sstart", "send").cast("bigint"), F.greatest("sstart", "send").cast("bigint")
     # the read may reach past its aligned part by its whole length on either side
@@ -72,15 +73,35 @@ def profile(aln: DataFrame, sites: DataFrame, spans: DataFrame) -> DataFrame:
     reach = F.sequence(F.shiftright(F.least(lo, far_lo), BIN_BITS), F.shiftright(F.greatest(hi, far_hi), BIN_BITS))
     met = base.select(*FIELDS, F.col("sseqid").alias("seqid"), F.explode_outer(reach).alias("bin")).join(_bins(sites, spans), ["seqid", "bin"], "left")
     near = lambda c: F.filter(c, lambda x: (x["pos"] >= far_lo) & (x["pos"] <= far_hi)).alias(c)
-    touched = F.filter("spans", lambda x: (lo < hi) & (x["gs"] < hi) & (x["ge"] >= lo))
+    # what touches the aligned part stands in one of its own bins, too
+    own = (lo < hi) & (F.col("bin") >= F.shiftright(lo, BIN_BITS)) & (F.col("bin") <= F.shiftright(hi, BIN_BITS))
+    touched = F.when(own, F.filter("spans", lambda x: (x["gs"] < hi) & (x["ge"] >= lo)))
     hits = F.transform(touched, lambda x: F.struct(x["gene"].alias("gene"), x["exon"].alias("exon"))).alias("hits")
-    # one exchange on the read serves this grouping and the join of both alignments
-    each = met.select(*FIELDS, near("donors"), near("acceptors"), hits).repartition("qseqid")
-    found = each.groupBy(*FIELDS).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("donors", "acceptors", "hits")])
-    of = lambda g: F.array_contains("hits", F.struct(g.alias("gene"), F.lit(1).alias("exon")))
-    words = F.transform(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["gene"]))), lambda g: F.concat(g, F.lit(":"), F.when(of(g), "exon").otherwise("intron")))
-    genes = F.when(F.size("hits") > 0, F.array_join(words, ";")).otherwise("-")
-    return found.select(*FIELDS, F.concat_ws("\t", *FIELDS).alias("line"), F.array_sort("donors").alias("donors"), F.array_sort("acceptors").alias("acceptors"), genes.alias("genes"))
+    # one exchange on the read serves all that follows
+    return met.select(*FIELDS, near("donors"), near("acceptors"), hits).repartition("qseqid")
+
+
+def _gene_text(hits):
+    """``gene:exon;gene:intron`` of (gene, exon) entries, ``-`` for none."""
+    of = lambda g: F.array_contains(hits, F.struct(g.alias("gene"), F.lit(1).alias("exon")))
+    words = F.transform(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["gene"]))), lambda g: F.concat(g, F.lit(":"), F.when(of(g), "exon").otherwise("intron")))
+    return F.when(F.size(hits) > 0, F.array_join(words, ";")).otherwise("-")
+
+
+def profile(aln: DataFrame, sites: DataFrame, spans: DataFrame) -> DataFrame:
+    """Distinct alignments with the sites near them and the text of the genes they touch.
+
+    An alignment meets the bins in its reach, a row each, not each site and gene by itself.
+    """
+    found = _met(aln, sites, spans).groupBy(*FIELDS).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("donors", "acceptors", "hits")])
+    return found.select(*FIELDS, F.concat_ws("\t", *FIELDS).alias("line"), F.array_sort("donors").alias("donors"), F.array_sort("acceptors").alias("acceptors"), _gene_text(F.col("hits")).alias("genes"))
+
+
+def _by_read(aln: DataFrame, tx: DataFrame, name: str) -> DataFrame:
+    """(qseqid, ``name``): the rows of :func:`_met` of each read, in the order of their lines."""
+    rows = _met(aln, splice_sites(tx), gene_spans(tx)).where("qseqid IS NOT NULL")
+    row = F.struct(F.concat_ws("\t", *FIELDS).alias("line"), *FIELDS, "donors", "acceptors", "hits")
+    return rows.groupBy("qseqid").agg(F.array_sort(F.collect_list(row)).alias(name))
 
 
 def _runs(btop, first):
@@ -138,19 +159,18 @@ def _marks(places, sites):
     return F.array_sort(F.filter(found, lambda m: m["i"] >= 0))
 
 
-def with_ways(aln: DataFrame, tag: str = "") -> DataFrame:
-    """``aln`` with ``ways``: bases, places, donors and acceptors of both reading directions; ``tag`` ends the names of all columns."""
-    col = lambda c: F.col(c + tag)
+def _ways(col):
+    """Bases, places, donors and acceptors of both reading directions of an alignment, whose fields ``col`` gives."""
     ops = F.regexp_extract_all(col("btop"), F.lit("[0-9]+|[A-Za-z-]{2}"), F.lit(0))
     step = F.when(col("sstart") < col("send"), 1).otherwise(-1)
-    for way, ordered, first, start, turn in (("f", ops, col("qstart") - 1, "sstart", step), ("r", F.reverse(ops), col("qlen") - col("qend"), "send", -step)):
-        aln = aln.withColumn(f"_runs_{way}", _runs(ordered, first))
-        aln = aln.withColumn(f"_at_{way}", _places(F.col(f"_runs_{way}"), col("qlen"), first, col(start), turn))
-    one = lambda w: F.struct(
-        _bases(F.col(f"_runs_{w}"), col("qlen")).alias("bases"), F.col(f"_at_{w}").alias("places"),
-        _marks(F.col(f"_at_{w}"), col("donors")).alias("donors"), _marks(F.col(f"_at_{w}"), col("acceptors")).alias("acceptors"),
-    )
-    return aln.withColumn("ways" + tag, F.array(one("f"), one("r"))).drop("_runs_f", "_runs_r", "_at_f", "_at_r", "donors" + tag, "acceptors" + tag)
+    one = lambda runs, at: F.struct(_bases(runs, col("qlen")).alias("bases"), at.alias("places"), _marks(at, col("donors")).alias("donors"), _marks(at, col("acceptors")).alias("acceptors"))
+    way = lambda ordered, first, start, turn: C.let(_runs(ordered, first), lambda runs: C.let(_places(runs, col("qlen"), first, col(start), turn), lambda at: one(runs, at)))
+    return F.array(way(ops, col("qstart") - 1, "sstart", step), way(F.reverse(ops), col("qlen") - col("qend"), "send", -step))
+
+
+def with_ways(aln: DataFrame, tag: str = "") -> DataFrame:
+    """``aln`` with ``ways``: bases, places, donors and acceptors of both reading directions; ``tag`` ends the names of all columns."""
+    return aln.withColumn("ways" + tag, _ways(lambda c: F.col(c + tag))).drop("donors" + tag, "acceptors" + tag)
 
 
 def border(one, two):
@@ -187,6 +207,51 @@ def cuts(left, right, donors, acceptors, cut, full: int, half: int):
     return F.concat(F.array(candidate(cut, cut, [])), both, lone_d, lone_a)
 
 
+def _ranked(one, two, cut, full: int, half: int):
+    """All trials of one reading direction over both orders, as (neg, nth, t); the smallest is the best."""
+    straight = cuts(one["bases"], two["bases"], one["donors"], two["acceptors"], cut, full, half)
+    crossed = cuts(two["bases"], one["bases"], two["donors"], one["acceptors"], cut, full, half)
+    return F.transform(F.concat(straight, crossed), lambda t, nth: F.struct((-(_total(t["vector"], lambda x: x) / F.size(t["vector"]))).alias("neg"), nth.alias("nth"), t.alias("t")))
+
+
+def _best_by_row(full: int, half: int):
+    """What :func:`.borders.best_cuts` gives, for any read."""
+    def best(way, one, two, lines):
+        row = lambda b: F.struct(
+            b["neg"].alias("neg"), *lines, F.lit(way).alias("way"), b["nth"].alias("nth"), (-b["neg"]).alias("score"), b["t"]["cut"].alias("cut"),
+            F.get(one["places"], b["t"]["cut"]).alias("place1"), F.get(two["places"], b["t"]["cut"] - 1).alias("place2"),
+            b["t"]["junction1"].alias("junction1"), b["t"]["junction2"].alias("junction2"), F.array_join(b["t"]["vector"].cast("array<string>"), "").alias("binread"),
+        )
+        return C.let(C.let(border(one["bases"], two["bases"]), lambda cut: F.array_min(_ranked(one, two, cut, full, half))), row)
+
+    def pair(u, v):
+        lines = (u["line"].alias("line1"), v["line"].alias("line2"), u["at"].alias("one"), v["at"].alias("two"))
+        return C.let(F.struct(u["ways"].alias("a"), v["ways"].alias("b")), lambda w: F.array_min(F.array(*[best(k, F.get(w["a"], F.lit(k)), F.get(w["b"], F.lit(k)), lines) for k in (0, 1)])))
+
+    def alignments(rows):
+        fields = lambda x: F.struct(*[x[c] for c in FIELDS])
+        first = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | ~fields(F.get(rows, i)).eqNullSafe(fields(F.get(rows, i - 1))))
+
+        def one(i):
+            a = F.get(rows, i)
+            near = lambda c: F.array_sort(F.flatten(F.array_compact(F.transform(F.filter(rows, lambda x: fields(x).eqNullSafe(fields(a))), lambda x: x[c]))))
+            ways = C.let(F.struct(near("donors").alias("donors"), near("acceptors").alias("acceptors")), lambda s: _ways(lambda c: s[c] if c in ("donors", "acceptors") else a[c]))
+            return F.struct(a["line"].alias("line"), i.alias("at"), ways.alias("ways"))
+
+        return F.transform(first, one)
+
+    every = C.let(alignments(F.col("rows_2")), lambda two: F.array_min(F.flatten(F.transform(alignments(F.col("rows_1")), lambda u: F.transform(two, lambda v: pair(u, v))))))
+    return C.let(every, lambda r: F.struct(*[r[c].alias(c) for c in re.findall(r"(\w+):", borders.RESULT)]).cast(borders.RESULT))
+
+
+def best_cuts(reads: DataFrame, full: int = 5, half: int = 3) -> DataFrame:
+    """``reads`` (qseqid, rows_1, rows_2) with ``best``: the best of what :func:`score_pairs` gives for the pairs of a read."""
+    cols = ("qlen", "qstart", "qend", "sstart", "send", "sseqid", "btop", "donors", "acceptors")
+    asked = lambda name: F.arrays_zip(*[F.col(name)[c].alias(c) for c in cols])
+    fast = F.arrow_udf(borders.best_cuts(full, half), borders.RESULT)
+    return reads.withColumn("best", fast(asked("rows_1"), asked("rows_2"))).withColumn("best", F.coalesce("best", _best_by_row(full, half)))
+
+
 def score_pairs(pairs: DataFrame, full: int = 5, half: int = 3) -> DataFrame:
     """The best cut of each reading direction of a pair of alignments (columns ``*_1`` and ``*_2``), over both orders."""
     keep = ["_read", F.col("qseqid_1").alias("read_name"), "line_1", "line_2", F.col("sseqid_1").alias("genome1_seqid"), F.col("sseqid_2").alias("genome2_seqid"),
@@ -194,10 +259,8 @@ def score_pairs(pairs: DataFrame, full: int = 5, half: int = 3) -> DataFrame:
     each = pairs.select(*keep, F.posexplode(F.arrays_zip("ways_1", "ways_2")).alias("way", "w"))
     each = each.select("*", F.col("w.ways_1").alias("one"), F.col("w.ways_2").alias("two")).drop("w")
     each = each.withColumn("cut", border(F.col("one.bases"), F.col("two.bases")))
-    straight = cuts(F.col("one.bases"), F.col("two.bases"), F.col("one.donors"), F.col("two.acceptors"), F.col("cut"), full, half)
-    crossed = cuts(F.col("two.bases"), F.col("one.bases"), F.col("two.donors"), F.col("one.acceptors"), F.col("cut"), full, half)
     # trials are compared within the row; only the best one leaves it
-    ranked = F.transform(F.concat(straight, crossed), lambda t, nth: F.struct((-(_total(t["vector"], lambda x: x) / F.size(t["vector"]))).alias("neg"), nth.alias("nth"), t.alias("t")))
+    ranked = _ranked(F.col("one"), F.col("two"), F.col("cut"), full, half)
     best = each.select("*", F.explode(F.array(F.array_min(ranked))).alias("best")).where("best IS NOT NULL").select("*", F.col("best.t").alias("t"))
     return best.select(
         *[c for c in each.columns if c not in ("one", "two", "cut", "way")], F.struct("way", F.col("best.nth").alias("nth")).alias("trial"),
@@ -218,14 +281,21 @@ def find_breakpoints(
     of an alignment are removed before pairs are formed.  Base scores and places are laid out once the alignments
     have met, so no exchange carries them.
     """
-    p1 = profile(aln1, splice_sites(tx1), gene_spans(tx1))
-    p2 = profile(aln2, splice_sites(tx2), gene_spans(tx2))
-    tag = lambda p, k: p.select(F.col("qseqid").alias("_read"), *[F.col(c).alias(f"{c}_{k}") for c in p.columns])
-    pairs = tag(p1, 1).join(tag(p2, 2), "_read")
-    scored = score_pairs(with_ways(with_ways(pairs, "_1"), "_2"), full, half)
-    rank = F.struct((-F.col("score")).alias("neg"), "line_1", "line_2", "trial")
-    cols = [c for c in BREAKPOINT_FIELDS if c != "read_name"]
-    return scored.groupBy("_read").agg(F.min_by(F.struct("read_name", *cols), rank).alias("b")).select("b.*")
+    reads = _by_read(aln1, tx1, "rows_1").join(_by_read(aln2, tx2, "rows_2"), "qseqid")
+    scored = best_cuts(reads, full, half)
+    chosen = lambda k, at: F.get(F.col(f"rows_{k}"), F.col(at))
+    scored = scored.withColumn("one", chosen(1, "best.one")).withColumn("two", chosen(2, "best.two"))
+
+    def genes(k, name):
+        same = lambda x: F.struct(*[x[c] for c in FIELDS]).eqNullSafe(F.struct(*[F.col(name)[c] for c in FIELDS]))
+        return C.let(F.flatten(F.array_compact(F.transform(F.filter(f"rows_{k}", same), lambda x: x["hits"]))), _gene_text)
+
+    return scored.select(
+        F.col("qseqid").alias("read_name"), F.col("best.cut").cast("bigint").alias("genome1_read_breakpoint"), (F.col("best.cut") - 1).cast("bigint").alias("genome2_read_breakpoint"),
+        F.col("one.sseqid").alias("genome1_seqid"), F.col("two.sseqid").alias("genome2_seqid"), F.col("best.place1").alias("genome1_breakpoint"), F.col("best.place2").alias("genome2_breakpoint"),
+        F.col("best.score").alias("score"), F.coalesce("best.junction1", F.lit("-")).alias("junction1"), F.coalesce("best.junction2", F.lit("-")).alias("junction2"),
+        genes(1, "one").alias("gene1"), genes(2, "two").alias("gene2"), F.col("best.binread").alias("binread"),
+    )
 
 
 def group_breakpoints(bps: DataFrame) -> DataFrame:
