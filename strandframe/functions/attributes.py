@@ -44,6 +44,21 @@ def parse_attributes(text: Column, gff: bool = False, keep: str = "first") -> Co
     return F.map_from_entries(let(named, kept))
 
 
+def parsed_value(text: Column, key: str) -> Column:
+    """The value of one key in ``parse_attributes(text)``.  ``key`` is a plain word.
+
+    The first place of the key is looked at alone; the text is taken apart only if that is not a whole, plainly written piece.
+    """
+    at = F.instr(text, key)
+    before = F.rtrim(F.substring(text, F.lit(1), at - 1))
+    tail = F.substring(text, at + len(key), F.length(text))
+    value = F.substring_index(F.substring(tail, 3, 1 << 30), '"', 1)
+    after = F.substring(tail, F.length(value) + 3, F.length(tail))
+    ended = F.startswith(after, F.lit('"')) & ((F.rtrim(after) == '"') | F.startswith(F.ltrim(F.substring(after, 2, 1 << 30)), F.lit(";")))
+    plain = ((before == "") | F.endswith(before, F.lit(";"))) & F.startswith(tail, F.lit(' "')) & (value != "") & (F.instr(value, ";") == 0) & ended
+    return F.when(at == 0, None).when(plain, value).otherwise(F.try_element_at(parse_attributes(text), F.lit(key)))
+
+
 def attribute(text: Column, key: str) -> Column:
     """One value of GTF attribute text, NULL if the key is absent.  ``key`` must match whole."""
     return F.nullif(F.regexp_extract(text, rf'(?:^|;)\s*{key} "([^"]*)"', 1), F.lit(""))

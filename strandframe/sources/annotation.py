@@ -56,7 +56,8 @@ def features(lines: DataFrame) -> DataFrame:
     Row-wise only, so it works on batch and on streaming text alike.
     Reversed coordinates are swapped.
     """
-    parts = F.split(F.regexp_replace("value", "#.*$", ""), "\t")
+    bare = F.when(F.instr("value", "#") > 0, F.regexp_replace("value", "#.*$", "")).otherwise(F.col("value"))
+    parts = F.split(bare, "\t")
     # a generator of one row keeps the filter from cutting the text a second time
     f = lines.select("*", F.explode(F.array(parts)).alias("_p")).where(F.size("_p") == 9)
     a, b = F.try_element_at("_p", F.lit(4)).try_cast("bigint"), F.try_element_at("_p", F.lit(5)).try_cast("bigint")
@@ -113,10 +114,13 @@ def with_ids(feats: DataFrame, gff: bool = False) -> DataFrame:
 
     GFF3 exons may name several parents; each gets its own row.
     """
-    bag = feats.select(*[c for c in feats.columns if c != "attrs"], F.explode(F.array(A.parse_attributes(F.col("attributes"), gff))).alias("attrs"))
+    rest = [c for c in feats.columns if c != "attrs"]
+    if not gff:  # ids are found in the text; the map is made only where it is used
+        own = [c for c in rest if c not in ("tid", "gene")]
+        text = F.col("attributes")
+        return feats.select(*own, A.parse_attributes(text).alias("attrs"), A.parsed_value(text, "transcript_id").alias("tid"), A.parsed_value(text, "gene_id").alias("gene"))
+    bag = feats.select(*rest, F.explode(F.array(A.parse_attributes(F.col("attributes"), gff))).alias("attrs"))
     get = lambda k: F.try_element_at("attrs", F.lit(k))
-    if not gff:
-        return bag.withColumn("tid", get("transcript_id")).withColumn("gene", get("gene_id"))
     is_tx = F.col("type").isin("transcript", "mRNA")
     owners = F.when(is_tx, F.array(get("ID"))).otherwise(F.split(get("Parent"), ","))
     gene = F.when(is_tx, F.coalesce(get("gene_id"), get("Parent"))).otherwise(get("gene_id"))
@@ -275,9 +279,12 @@ def transcript_lines(tx: DataFrame, source: str = "strandframe") -> DataFrame:
     if "cds" in tx.columns:
         first = F.col("phase") if "phase" in tx.columns else F.lit(0)
         parts.append(F.transform(C.phases_from(F.col("cds"), F.col("strand"), first), lambda x: row("CDS", x, x["phase"].cast("string"))))
-    out = tx.select("seqid", "strand", "start", "tid", src.alias("source"), attrs.alias("attrs"), F.posexplode(F.concat(*parts)).alias("rank", "f"))
-    own = F.map_filter("attrs", lambda k, _: k.isin("transcript_id", "gene_id"))
-    text = A.attribute_text(F.when(F.col("f.type") == "transcript", F.col("attrs")).otherwise(own))
+    # a transcript has two attribute texts, whatever the number of its lines
+    own = lambda m: F.map_filter(m, lambda k, _: k.isin("transcript_id", "gene_id"))
+    texts = C.let(attrs, lambda m: F.array(A.attribute_text(m), A.attribute_text(own(m))))
+    each = tx.select("seqid", "strand", "start", "tid", src.alias("source"), texts.alias("texts"), F.concat(*parts).alias("fs"))
+    out = each.select("seqid", "strand", "start", "tid", "source", "texts", F.posexplode("fs").alias("rank", "f"))
+    text = F.get("texts", F.when(F.col("f.type") == "transcript", 0).otherwise(1))
     line = F.concat_ws(
         "\t", "seqid", "source", F.col("f.type"), F.col("f.s").cast("string"), F.col("f.e").cast("string"), F.lit("."), "strand", F.col("f.phase"), text
     )
