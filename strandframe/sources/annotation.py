@@ -61,13 +61,14 @@ def features(lines: DataFrame) -> DataFrame:
     # a generator of one row keeps the filter from cutting the text a second time
     f = lines.select("*", F.explode(F.array(parts)).alias("_p")).where(F.size("_p") == 9)
     a, b = F.try_element_at("_p", F.lit(4)).try_cast("bigint"), F.try_element_at("_p", F.lit(5)).try_cast("bigint")
-    text = lambda i: F.trim(F.element_at("_p", i))
+    # the filter on the number of fields may run after one on an id, so shorter lines must not fail here
+    text = lambda i: F.trim(F.try_element_at("_p", F.lit(i)))
     kept = [c for c in lines.columns if c != "value"]
     return f.select(
         *kept, text(1).alias("seqid"), text(2).alias("source"), text(3).alias("type"),
         F.least(a, b).alias("start"), F.greatest(a, b).alias("end"),
         text(6).try_cast("double").alias("score"), text(7).alias("strand"), text(8).alias("phase"),
-        F.rtrim(F.element_at("_p", 9)).alias("attributes"),
+        F.rtrim(F.try_element_at("_p", F.lit(9))).alias("attributes"),
     )
 
 

@@ -30,3 +30,10 @@ def test_maps_are_made_only_where_used(spark):
     assert sorted(out.select("rank", "value").collect())[1] == (1, 's\tx\texon\t1\t9\t.\t+\t.\ttranscript_id "t"; gene_id "g";')
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "array_join" in plan[plan.index("Generate posexplode"):] and "array_join" not in plan[: plan.index("Generate posexplode")]
+
+
+def test_lines_of_fewer_fields_are_left_out(spark):
+    """Conditions on ids may be asked before the number of fields."""
+    lines = spark.createDataFrame([('s\tx\texon\t1\t9\t.\t+\t.\ttranscript_id "t"; gene_id "g";',), ('x\texon\t1\t9\t+\ttranscript_id "u";',), ("",), (None,)], "value string")
+    got = annotation.assemble(annotation.with_ids(annotation.features(lines)))
+    assert [r.tid for r in got.collect()] == ["t"]
